@@ -58,7 +58,8 @@ LABELLED = [
     # and short blocks, or blocks of links, are not
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.4, 1, 1.0, 8, 0.0, 0, 0, 0, 0), (20, 0.8, 3, 1.0, 3, 1.0, 0, 0, 0, 0),
     (45, 0.9, 50, 0.0, 3, 1.0, 0, 0, 0, 0), (8, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0), (4, 0.0, 8, 0.0, 2, 0.0, 0, 0, 0, 0), (2, 0.0, 64, 0.0, 0, 0.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 5, 1.0, 0, 0, 0, 0),
-    (7, 0.7, 44, 0.0, 6, 1.0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 2, 1.0, 0, 0, 1, 0), (2, 1.0, 5, 1.0, 4, 1.0, 0, 0, 1, 0),
+    (2, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0), (1, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 1.0, 70, 0.0, 65, 0.0, 0, 0, 0, 0), (1, 1.0, 4, 1.0, 80, 0.0, 0, 0, 0, 0), (12, 0.9, 0, 0.0, 48, 0.0, 0, 0, 0, 0),
+    (30, 1.0, 55, 0.0, 61, 0.0, 0, 0, 0, 0), (5, 1.0, 38, 0.0, 42, 0.0, 0, 0, 0, 0), (7, 0.7, 44, 0.0, 6, 1.0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 2, 1.0, 0, 0, 1, 0), (2, 1.0, 5, 1.0, 4, 1.0, 0, 0, 1, 0),
 ]
 
 

@@ -82,4 +82,7 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, m
         ((F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeated * F.col("n_words"))).alias("base_failed"),
         (F.col("word_chars") - F.col("__left")).cast("bigint").alias("lost_chars"),
     )
-    return judged.select("*", (~F.col("base_failed") & (F.col("lost_chars") <= max_lost * F.col("word_chars"))).alias("kept")).drop("__words", "__lines", "__full", "__hashes", "__windows", "__pairs", "__left")
+    # A filter on these columns must not move below the selects above: it would work out their expressions again, each inside
+    # the next. It doesn't pass a column that isn't deterministic, so one condition, always true, is of that kind.
+    here = F.monotonically_increasing_id() >= 0
+    return judged.select("*", (here & ~F.col("base_failed") & (F.col("lost_chars") <= max_lost * F.col("word_chars"))).alias("kept")).drop("__words", "__lines", "__full", "__hashes", "__windows", "__pairs", "__left")

@@ -1,0 +1,94 @@
+import random
+
+import numpy as np
+import xxhash
+
+from loomscan.llm import simhash
+from loomscan.llm.components import components
+
+
+def slow_fingerprint(text, size=4):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\f\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints):
+    ids = sorted(prints)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_every_close_pair_meets_in_a_table():
+    rng = random.Random(5)
+    masks = [m & (1 << 64) - 1 for m in simhash.masks()]
+    assert len(masks) == 31 and all(m.bit_count() >= 30 for m in masks)
+    for _ in range(20000):
+        diff = sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
+        assert any(m & diff == 0 for m in masks)
+
+
+def test_fingerprints(sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf_dir}/documents.parquet").column("text").to_pylist()[:60]
+    for t in [*texts, None, "", " \n", "One", "one two three", "a b c d", "Ärger ÄRGER x y z", "x y z w"]:
+        assert simhash.fingerprint(None if t is None else t.encode()) == slow_fingerprint(t)
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    from loomscan.llm.queries import op9_simhash
+
+    rows = {r["doc_id"]: r for r in op9_simhash(spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
+    assert {i: r["fingerprint"] for i, r in rows.items()} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {i: r["component_id"] for i, r in rows.items()} == slow_components(prints)
+
+
+def test_links_connect_dense_groups(spark):
+    rng = random.Random(7)
+    base, prints = [rng.getrandbits(64) for _ in range(3)], set()
+    for b in base:
+        for _ in range(150):
+            prints.add(b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 4))))
+    prints = dict(enumerate(sorted(prints)))
+    signed = [(i, int(np.uint64(p).view(np.int64))) for i, p in prints.items()]
+    found = components(simhash.links(spark.createDataFrame(signed, "node bigint, fp bigint")))
+    labels = {r["node"]: r["component"] for r in found.collect()}
+    assert {i: labels.get(i, i) for i in prints} == slow_components(prints)
+
+
+def test_components_of_a_chain_and_none(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_odd_rows(spark):
+    rows = [(5, "", 1), (3, None, 1), (7, "a b c d e f", 1), (7, "a b c d e f", 1), (9, "A b c D e f", 1), (None, "a b c d e f", 1), (11, "w " * 40000, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, fp int")
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(5, 3), (3, 3), (7, 7), (7, 7), (9, 7), (None, None), (11, 11)], key=str)
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    kept = simhash.one_of_each(df)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 7, 11, None], key=str)
+    assert kept.columns == df.columns
