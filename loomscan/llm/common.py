@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomscan.sources.shared import fresh_dir
+
 #: ASCII white space: the characters that part words everywhere in this subpackage.
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE_RE = "[ \\t-\\r]+"
@@ -22,21 +21,9 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; an own one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomscan-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomscan-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, "rows")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

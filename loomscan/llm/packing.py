@@ -47,7 +47,9 @@ def byte_bpe(ranks_path: str, json_path: str):
     def encode(text: str) -> np.ndarray:
         try:
             return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
-        except BaseException:  # the regular expression engine gives up on some extreme runs
+        except (KeyboardInterrupt, SystemExit, MemoryError):
+            raise
+        except BaseException:  # the encoder's engine panics on some extreme runs; its panics aren't plain exceptions
             return np.asarray(json_tokenizer(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode

@@ -28,8 +28,11 @@ TEMPERATURE = 4.0
 THRESHOLD = 0.3
 FOLDS = 5
 NAMES = ["words", "word_length", "upper", "digits", "symbols", "shouts", "marks", "quotes", "wide", "distinct", "top_word", "short_words", "ended_words", "line_words", "distinct_lines"]
+#: Short texts are drawn to these usual shares, as if so many characters, words and lines of usual text stood beside them.
+USUAL = {"upper": 0.02, "digits": 0.002, "symbols": 0.001, "shouts": 0.001, "marks": 0.03, "quotes": 0.001, "wide": 0.03, "distinct": 0.9, "top_word": 0.04, "short_words": 0.4, "ended_words": 0.1, "distinct_lines": 1.0}
+USUAL_CHARS, USUAL_WORDS, USUAL_LINES = 120, 20, 2
 _UPPER, _DIGITS, _SYMBOLS, _SHOUTS, _MARKS, _QUOTES = (x.encode() for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>=~^_\\{}[]@", "!?", ".,;:", "\"'()-/+`"))
-_WIDE = bytes(range(128, 256))
+_CLASSES = {"upper": _UPPER, "digits": _DIGITS, "symbols": _SYMBOLS, "shouts": _SHOUTS, "marks": _MARKS, "quotes": _QUOTES, "wide": bytes(range(128, 256))}
 
 
 def statistics(text: bytes) -> list[float]:
@@ -37,22 +40,19 @@ def statistics(text: bytes) -> list[float]:
     found = text.split()
     n, size = len(found), len(text)
     counts = Counter(found)
-    share = lambda drop: (size - len(text.translate(None, drop))) / (size + 1)
     lengths = np.fromiter(map(len, found), dtype=np.int64, count=n)
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    ended = sum(map(lambda w: w[-1] in b".!?", found))
-    log = lambda x: float(np.log(x + 0.003))
-    return [
-        float(np.log1p(n)),
-        float(np.log1p(lengths.mean())) if n else 0.0,
-        *(log(share(x)) for x in (_UPPER, _DIGITS, _SYMBOLS, _SHOUTS, _MARKS, _QUOTES, _WIDE)),
-        log(len(counts) / (n + 1)),
-        log(max(counts.values(), default=0) / (n + 1)),
-        log(float((lengths <= 3).sum()) / (n + 1)),
-        log(ended / (n + 1)),
-        float(np.log1p(n / (len(lines) + 1))),
-        log(len(set(lines)) / (len(lines) + 1)),
-    ]
+    counted = {name: size - len(text.translate(None, drop)) for name, drop in _CLASSES.items()}
+    shares = {name: (c, size, USUAL_CHARS) for name, c in counted.items()} | {
+        "distinct": (len(counts), n, USUAL_WORDS),
+        "top_word": (max(counts.values(), default=0), n, USUAL_WORDS),
+        "short_words": (int((lengths <= 3).sum()), n, USUAL_WORDS),
+        "ended_words": (sum(map(lambda w: w[-1] in b".!?", found)), n, USUAL_WORDS),
+        "distinct_lines": (len(set(lines)), len(lines), USUAL_LINES),
+    }
+    log = {name: float(np.log((c + USUAL[name] * more) / (of + more) + 0.003)) for name, (c, of, more) in shares.items()}
+    shapes = {"words": float(np.log1p(n)), "word_length": float(np.log1p((lengths.sum() + 5 * USUAL_WORDS) / (n + USUAL_WORDS))), "line_words": float(np.log1p(n / (len(lines) + 1)))}
+    return [(shapes | log)[name] for name in NAMES]
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

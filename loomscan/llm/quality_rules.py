@@ -21,7 +21,7 @@ MAX_REPEATED = 0.5
 MAX_LOST = 0.3
 #: A line fails from so many symbols or separators in proportion to its words on.
 SYMBOLS_PER_WORD = 0.5
-SEPARATORS_PER_WORD = 0.5
+SEPARATORS_PER_WORD = 0.25
 SHOUTS_PER_WORD = 0.5
 #: Lines of so many words and more need a mark that ends a sentence or clause.
 UNPUNCTUATED_WORDS = 30
