@@ -18,7 +18,7 @@ def slow(text):
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-CLEAN = " ".join(f"Sentence number {i} has its own words and ends well." for i in range(20))
+CLEAN = " ".join(f"Alpha{i} beta{i} gamma{i} words{i} end{i}." for i in range(20))
 
 
 def test_base_counts(spark, sf_dir):
