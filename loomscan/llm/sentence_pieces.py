@@ -3,8 +3,9 @@
 Of a text, white space is escaped as the vocabulary does it and the lattice of all pieces is searched in two passes: Viterbi
 scores forward, then A* from the end backward, for which those scores are the exact cost of what is left, so that complete
 segmentations come out best first. No piece crosses certain places (checked against the vocabulary when it is loaded), so a
-text falls into segments whose lattices are independent: their lists are found once, remembered, and merged. For the n best
-of a text only the n - 1 segments with the smallest loss to their second best need be looked at.
+text falls into segments whose lattices are independent. Their Viterbi scores, forward and backward, are worked out for many
+segments at once as arrays, and remembered; they give each segment's best score and its loss to the second best. For the n
+best of a text only the n - 1 segments with the smallest losses need be searched by A*, and their lists are merged.
 
 A character without a piece takes its byte pieces, at a score below every piece but such placeholders. Control pieces are never used. Decoding
 joins the pieces' bytes and drops the leading space that encoding put.
@@ -30,7 +31,14 @@ from loomscan.llm.common import tuned
 
 N_BEST = 3
 SPACE = "▁"
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+#: Texts encoded together, segments solved together, and the longest segment that is solved so.
+TEXTS = 200
+ARRAY_ROWS = 2048
+ARRAY_LENGTH = 40
+MULTIPLIER = 0x9E3779B97F4A7C15
+SPREAD = 0xD6E8FEB86659FD93
+FIRST_BITS = 18
 #: Pieces with scores of this and less stand in the vocabulary only so that every text has pieces.
 PLACEHOLDER = -1e8
 
@@ -53,6 +61,9 @@ class Pieces:
             self.surface.append(p.replace(SPACE, " ").encode() if ok else b"")
             if ok:
                 self.ids[p] = (i, s)
+        self.lengths = np.array([len(x) for x in self.surface], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.surface) or b" ", dtype=np.uint8)
         self.longest = max(map(len, self.ids), default=1)
         # the finest of these cuts that no piece crosses
         for pattern in (rf"{SPACE}*[^\W\d_]+|{SPACE}*[^\w{SPACE}]+|{SPACE}*[\d_]+|{SPACE}+", rf"{SPACE}*[^{SPACE}]+|{SPACE}+", r"(?s:.+)"):
@@ -110,51 +121,170 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        surface = self.surface
-        return b"".join([surface[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+        """The text of ids: the pieces' bytes one after the other, gathered at once."""
+        ids = np.asarray(ids, dtype=np.int64)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.flat[np.arange(total) + np.repeat(self.starts[ids] - ends + lengths, lengths)].tobytes()
+        return data.decode("utf-8", "replace").removeprefix(" ")
+
+
+class Solved:
+    """Best segmentations of many segments at once."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        hashes = np.array([self._hash(p) for p in pieces.ids], dtype=np.uint64) * np.uint64(SPREAD)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        assert (np.diff(self.hashes) > 0).all(), "two pieces share a hash"
+        # where the hashes with the same first bits begin, and how many at most share them
+        first = (self.hashes >> np.uint64(64 - FIRST_BITS)).astype(np.int64)
+        self.begin = np.searchsorted(first, np.arange(1 << FIRST_BITS)).astype(np.int32)
+        self.most = int(np.bincount(first).max()) if len(first) else 0
+        values = list(pieces.ids.values())
+        self.ids = np.array([v[0] for v in values], dtype=np.int32)[order]
+        self.scores = np.array([v[1] for v in values])[order]
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * MULTIPLIER + ord(c) + 1) & (1 << 64) - 1
+        return h
+
+    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the sorted hashes, and whether the hash is there."""
+        h, last = h * np.uint64(SPREAD), len(self.hashes) - 1
+        at = np.minimum(self.begin[(h >> np.uint64(64 - FIRST_BITS)).astype(np.int64)], last)
+        hit = self.hashes[at] == h
+        for _ in range(self.most - 1):
+            more = np.minimum(at + ~hit, last)
+            at = more
+            hit = self.hashes[at] == h
+        return at, hit
+
+    def __call__(self, segments: list[str]) -> Iterator[tuple[str, tuple[bytes, float, int, float]]]:
+        """(segment, (ids of the best segmentation, its score, its pieces, the loss to the second best)) of each."""
+        by_length: dict[int, list[str]] = {}
+        for s in segments:
+            by_length.setdefault(len(s), []).append(s)
+        for length, group in by_length.items():
+            if length > ARRAY_LENGTH:
+                for s in group:
+                    two = self.pieces.n_best(s, 2)
+                    yield s, (np.array(two[0][1], dtype="<i4").tobytes(), two[0][0], len(two[0][1]), two[0][0] - two[1][0] if len(two) > 1 else np.inf)
+                continue
+            for at in range(0, len(group), ARRAY_ROWS):
+                part = group[at : at + ARRAY_ROWS]
+                yield from zip(part, self._solve(part, length), strict=True)
+
+    def _solve(self, group: list[str], length: int) -> Iterator[tuple[bytes, float, int, float]]:
+        n, longest = len(group), min(self.pieces.longest, length)
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length).T.astype(np.uint64) + np.uint64(1)
+        edges, found = [None], [None]  # by piece length: scores and ids, by start and segment
+        h = np.zeros((length, n), dtype=np.uint64)
+        for size in range(1, longest + 1):
+            h = h[: length - size + 1] * np.uint64(MULTIPLIER) + codes[size - 1 :]
+            at, hit = self._look_up(h)
+            score, ids = np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
+            if size == 1:
+                point = codes - np.uint64(1)
+                width = 1 + (point > 0x7F).astype(int) + (point > 0x7FF) + (point > 0xFFFF)
+                score = np.where(hit, score, self.pieces.penalty * width)
+            edges.append(score)
+            found.append(ids)
+        ahead, taken = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), dtype=np.int64)
+        ahead[0] = 0
+        for j in range(1, length + 1):
+            for size in range(min(longest, j), 0, -1):
+                cost = ahead[j - size] + edges[size][j - size]
+                better = cost > ahead[j]
+                ahead[j][better] = cost[better]
+                taken[j][better] = size
+        behind = np.full((length + 1, n), -np.inf)
+        behind[length] = 0
+        for i in range(length - 1, -1, -1):
+            for size in range(1, min(longest, length - i) + 1):
+                np.maximum(behind[i], edges[size][i] + behind[i + size], out=behind[i])
+        flat_ids = np.full((longest + 1, length, n), -1, dtype=np.int32)
+        other = np.full((longest + 1, length, n), -np.inf)
+        for size in range(1, longest + 1):
+            flat_ids[size, : length - size + 1] = found[size]
+            other[size, : length - size + 1] = ahead[: length - size + 1] + edges[size] + behind[size:]
+        best_ids, count = np.full((n, length), -1, dtype="<i4"), np.zeros(n, dtype=np.int64)
+        where = np.full((n, length), -1, dtype=np.int64)
+        rows, end = np.arange(n), np.full(n, length)
+        while len(rows):
+            size = taken[end, rows]
+            start = end - size
+            count[rows] += 1
+            best_ids[rows, length - count[rows]] = flat_ids[size, start, rows]
+            where[rows, length - count[rows]] = start
+            other[size, start, rows] = -np.inf
+            more = start > 0
+            rows, end = rows[more], start[more]
+        loss = ahead[length] - other.max(axis=(0, 1))
+        odd = ((best_ids < 0) & (where >= 0)).any(axis=1).tolist()
+        raw, step = best_ids.tobytes(), 4 * length
+        for k, (score, pieces, lost) in enumerate(zip(ahead[length].tolist(), count.tolist(), loss.tolist(), strict=True)):
+            if odd[k]:
+                ids, full = best_ids[k, length - pieces :], []
+                for i, at in zip(ids.tolist(), where[k, length - pieces :].tolist(), strict=True):
+                    full += [i] if i >= 0 else [self.pieces.bytes[b] for b in group[k][at].encode("utf-8", "replace")]
+                yield np.array(full, dtype="<i4").tobytes(), score, len(full), lost
+                continue
+            yield raw[(k + 1) * step - 4 * pieces : (k + 1) * step], score, pieces, lost
 
 
-class Segmenter(dict):
-    """n-best lists of segments, packed: [(score, ids as bytes, number of pieces)]."""
+class Segmenter:
+    """n-best segmentations of texts, with what is known of segments kept for the texts to come."""
 
     def __init__(self, pieces: Pieces, n: int):
-        super().__init__()
         self.pieces, self.n = pieces, n
-
-    def __missing__(self, segment: str):
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self[segment] = [(s, np.array(ids, dtype="<i4").tobytes(), len(ids)) for s, ids in self.pieces.n_best(segment, self.n)]
-        return found
+        self.solved = Solved(pieces)
+        self.known: dict[str, tuple[bytes, float, int, float]] = {}
+
+    def segments(self, text: str | None) -> list[str]:
+        return self.pieces.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[tuple[float, bytes, int]]]:
+        """For each text (score, ids as little-endian 32-bit numbers, pieces) of its n best segmentations."""
+        split = [self.segments(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        missing = set().union(*split).difference(self.known)
+        self.known.update(self.solved(list(missing)))
+        for segments in split:
+            yield self._merge(segments)
 
     def encode(self, text: str | None) -> list[tuple[float, bytes, int]]:
-        """(score, ids as little-endian 32-bit numbers, pieces) of the n best segmentations of a text."""
-        if not text:
+        return next(self.encode_all([text]))
+
+    def _merge(self, segments: list[str]) -> list[tuple[float, bytes, int]]:
+        if not segments:
             return [(0.0, b"", 0)]
-        n = self.n
-        found = [self[s] for s in self.pieces.cut.findall(SPACE + text.replace(" ", SPACE))]
-        losses = [x[0][0] - x[1][0] if len(x) > 1 else np.inf for x in found] if n > 1 else []
-        base = sum([x[0][0] for x in found])
-        parts = [x[0][1] for x in found]
-        out = [(base, b"".join(parts), sum([x[0][2] for x in found]))]
+        n, known = self.n, self.known
+        parts, scores, counts, losses = zip(*[known[s] for s in segments], strict=True)
         if n == 1:
-            return out
+            return [(sum(scores), b"".join(parts), sum(counts))]
         if len(losses) > n - 1:
             near = np.argsort(np.array(losses), kind="stable")[: n - 1].tolist()
         else:
             near = list(range(len(losses)))
+        lists = [[(s, np.array(ids, dtype="<i4").tobytes(), len(ids)) for s, ids in self.pieces.n_best(segments[at], n)] for at in near]
         combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for at in near:
-            combos = sorted(((loss + found[at][0][0] - s, (*picks, j)) for loss, picks in combos for j, (s, _, _) in enumerate(found[at])), key=lambda x: x[0])[:n]
+        for found in lists:
+            combos = sorted(((loss + found[0][0] - s, (*picks, j)) for loss, picks in combos for j, (s, _, _) in enumerate(found)), key=lambda x: x[0])[:n]
+        base, total, changed, out = sum(scores), sum(counts), list(parts), []
         for loss, picks in combos:
-            if not any(picks):
-                continue
-            changed, pieces = list(parts), out[0][2]
-            for at, j in zip(near, picks, strict=True):
-                changed[at] = found[at][j][1]
-                pieces += found[at][j][2] - found[at][0][2]
+            pieces = total
+            for at, found, j in zip(near, lists, picks, strict=True):
+                changed[at] = found[j][1]
+                pieces += found[j][2] - counts[at]
             out.append((base - loss, b"".join(changed), pieces))
-        return out[:n]
+        return out
 
 
 def vocabulary_path() -> str:
@@ -173,8 +303,9 @@ def encode(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(Pieces.load(path), n)
         for batch in batches:
-            for lo in range(0, len(batch), 100):
-                rows = [(i, rank, *x) for i, text in enumerate(batch.column("text").slice(lo, 100).to_pylist()) for rank, x in enumerate(segmenter.encode(text), 1)]
+            for lo in range(0, len(batch), TEXTS):
+                texts = batch.column("text").slice(lo, TEXTS).to_pylist()
+                rows = [(i, rank, *x) for i, found in enumerate(segmenter.encode_all(texts)) for rank, x in enumerate(found, 1)]
                 take = pa.array([lo + r[0] for r in rows], type=pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(take), pa.array([r[1] for r in rows], type=pa.int32()), pa.array([r[2] for r in rows], type=pa.float64()), pa.array([r[4] for r in rows], type=pa.int64()), pa.array([r[3] for r in rows], type=pa.binary())],
@@ -193,7 +324,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model_path: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(path)
         for batch in batches:
-            texts = [None if x is None else pieces.decode(np.frombuffer(x, dtype="<i4").tolist()) for x in batch.column(ids_col).to_pylist()]
+            texts = [None if x is None else pieces.decode(np.frombuffer(x, dtype="<i4")) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, "decoded"])
 
     return source.mapInArrow(run, f"{kinds}, decoded string")
