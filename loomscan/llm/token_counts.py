@@ -71,7 +71,9 @@ class DocumentTree:
         return "".join(p for leaf in self.leaves for p in leaf)
 
     def _leaf_at(self, char: int) -> tuple[int, int]:
-        """The leaf that holds a character (the last leaf with any, for the end of the text) and where it starts."""
+        """The leaf that holds a character (the last leaf with any for the end of the text, the first for an empty one) and where it starts."""
+        if not self.chars[1]:
+            return 0, 0
         node, start = 1, 0
         char = max(0, min(char, int(self.chars[1]) - 1))
         while node < self.size:

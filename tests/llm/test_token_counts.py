@@ -1,5 +1,5 @@
 import regex
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from public_tokenizers import PATTERN
 
@@ -14,6 +14,7 @@ TEXT = st.text(alphabet=" \n'slrevdab1é.!", max_size=60)
 
 
 @settings(max_examples=400, deadline=None)
+@example("1a1", [(0, 3, ""), (0, 0, ""), (0, 0, "b")], 1)
 @given(TEXT, st.lists(st.tuples(st.integers(-2, 70), st.integers(-2, 70), st.text(alphabet=" \n'slreva1.", max_size=8)), max_size=6), st.sampled_from([1, 2, 5, 64]))
 def test_edits_count_as_whole_texts_do(text, edits, leaf):
     tree = DocumentTree(text, SPLIT, COUNTS, leaf)
