@@ -26,6 +26,8 @@ MIN_WORDS = 5
 SKETCH_LG_K = 12
 #: Standard errors of a sketch within which a line is counted exactly.
 NEAR_ERRORS = 4
+#: Places over which the rows of one line are dealt where they are joined with the lines to count exactly.
+SALTS = 32
 NULL_KEY = -(1 << 63)
 ADDED = ["n_lines", "n_removed", "kept_text"]
 
@@ -44,7 +46,10 @@ def boilerplate(index: DataFrame, min_sites: int = MIN_SITES, lg_k: int = SKETCH
     band = max(1, math.ceil(NEAR_ERRORS * 1.04 / math.sqrt(1 << lg_k) * min_sites))
     clear = sketched.filter(F.col("estimate") > min_sites + band).select("h")
     near = sketched.filter(F.abs(F.col("estimate") - min_sites) <= band).select("h")
-    exact = index.filter("site is not null").join(near, "h").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h")
+    # a line that a third of all rows hold lies in as many places as there are salts, until its sites are combined
+    salts = near.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    places = index.filter("site is not null").select("h", "site", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).alias("salt"))
+    exact = places.join(salts, ["h", "salt"]).select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h")
     return clear.union(exact).join(shared, "h")
 
 
