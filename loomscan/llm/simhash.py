@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import tuned, written
+from loomscan.llm.common import partitions, tuned, written
 from loomscan.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -97,9 +97,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes (node, fp) with distinct fp: pairs (a, b) of nodes that connect whatever the radius connects."""
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks(radius))]))
-    rows = nodes.select("node", "fp", tables.alias("x")).select("node", "fp", "x.t", "x.k")
-    buckets = rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("p"), F.max(F.struct("node", "fp")).alias("q")).filter("n > 1")
-    two = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= radius)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    # fingerprints are distinct, so they deal evenly; each makes as many rows as there are tables
+    spread = nodes.repartition(partitions(nodes.sparkSession), "fp")
+    rows = spread.select("node", "fp", tables.alias("x")).select("node", "fp", "x.t", "x.k")
+    buckets = rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("fp").alias("p"), F.max("fp").alias("q")).filter("n > 1")
+    two = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius)).select("a", "b")
     more = rows.join(buckets.filter("n > 2").select("t", "k"), ["t", "k"]).groupBy("t", "k").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
