@@ -32,8 +32,8 @@ from loomscan.llm.common import tuned
 N_BEST = 3
 SPACE = "▁"
 REMEMBERED = 250_000
-#: Texts encoded together, segments solved together, and the longest segment that is solved so.
-TEXTS = 200
+#: Characters of texts encoded together, segments solved together, and the longest segment that is solved so.
+CHARS = 2_000_000
 ARRAY_ROWS = 2048
 ARRAY_LENGTH = 40
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -183,22 +183,26 @@ class Solved:
     def _solve(self, group: list[str], length: int) -> Iterator[tuple[bytes, float, int, float]]:
         n, longest = len(group), min(self.pieces.longest, length)
         codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length).T.astype(np.uint64) + np.uint64(1)
-        edges, found = [None], [None]  # by piece length: scores and ids, by start and segment
+        edges, found = {}, {}  # by piece length, for those that are found: scores and ids, by start and segment
         h = np.zeros((length, n), dtype=np.uint64)
         for size in range(1, longest + 1):
             h = h[: length - size + 1] * np.uint64(MULTIPLIER) + codes[size - 1 :]
             at, hit = self._look_up(h)
+            if size > 1 and not hit.any():
+                continue
             score, ids = np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
             if size == 1:
                 point = codes - np.uint64(1)
                 width = 1 + (point > 0x7F).astype(int) + (point > 0x7FF) + (point > 0xFFFF)
                 score = np.where(hit, score, self.pieces.penalty * width)
-            edges.append(score)
-            found.append(ids)
+            edges[size], found[size] = score, ids
+        sizes = sorted(edges, reverse=True)
         ahead, taken = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), dtype=np.int64)
         ahead[0] = 0
         for j in range(1, length + 1):
-            for size in range(min(longest, j), 0, -1):
+            for size in sizes:
+                if size > j:
+                    continue
                 cost = ahead[j - size] + edges[size][j - size]
                 better = cost > ahead[j]
                 ahead[j][better] = cost[better]
@@ -206,11 +210,12 @@ class Solved:
         behind = np.full((length + 1, n), -np.inf)
         behind[length] = 0
         for i in range(length - 1, -1, -1):
-            for size in range(1, min(longest, length - i) + 1):
-                np.maximum(behind[i], edges[size][i] + behind[i + size], out=behind[i])
-        flat_ids = np.full((longest + 1, length, n), -1, dtype=np.int32)
-        other = np.full((longest + 1, length, n), -np.inf)
-        for size in range(1, longest + 1):
+            for size in sizes:
+                if size <= length - i:
+                    np.maximum(behind[i], edges[size][i] + behind[i + size], out=behind[i])
+        flat_ids = np.full((sizes[0] + 1, length, n), -1, dtype=np.int32)
+        other = np.full((sizes[0] + 1, length, n), -np.inf)
+        for size in sizes:
             flat_ids[size, : length - size + 1] = found[size]
             other[size, : length - size + 1] = ahead[: length - size + 1] + edges[size] + behind[size:]
         best_ids, count = np.full((n, length), -1, dtype="<i4"), np.zeros(n, dtype=np.int64)
@@ -303,14 +308,18 @@ def encode(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(Pieces.load(path), n)
         for batch in batches:
-            for lo in range(0, len(batch), TEXTS):
-                texts = batch.column("text").slice(lo, TEXTS).to_pylist()
-                rows = [(i, rank, *x) for i, found in enumerate(segmenter.encode_all(texts)) for rank, x in enumerate(found, 1)]
-                take = pa.array([lo + r[0] for r in rows], type=pa.int64())
+            texts, lo = batch.column("text").to_pylist(), 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and size < CHARS:
+                    size += len(texts[hi] or "")
+                    hi += 1
+                rows = [(i, rank, *x) for i, found in enumerate(segmenter.encode_all(texts[lo:hi]), lo) for rank, x in enumerate(found, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), pa.array([r[1] for r in rows], type=pa.int32()), pa.array([r[2] for r in rows], type=pa.float64()), pa.array([r[4] for r in rows], type=pa.int64()), pa.array([r[3] for r in rows], type=pa.binary())],
+                    [batch.column("doc_id").take(pa.array([r[0] for r in rows], type=pa.int64())), pa.array([r[1] for r in rows], type=pa.int32()), pa.array([r[2] for r in rows], type=pa.float64()), pa.array([r[4] for r in rows], type=pa.int64()), pa.array([r[3] for r in rows], type=pa.binary())],
                     names=["doc_id", "rank", "score", "n_pieces", "ids"],
                 )
+                lo = hi
 
     return source.mapInArrow(run, f"doc_id {kind}, rank int, score double, n_pieces bigint, ids binary")
 
