@@ -6,7 +6,7 @@ within the sketch's error, get an exact distinct count. A line at or over the th
 place (least id, then position) and goes everywhere else.
 
 The index of lines holds hashes, not texts, and is written once. Defined results: null and empty texts have no lines; lines
-of fewer than min_words words are left alone; a null site counts as none; a null id comes before all others; rows that repeat
+of fewer than min_words words are left alone, or with short_sites are boilerplate from that many sites on; a null site counts as none; a null id comes before all others; rows that repeat
 an id are one document; an empty table gives no rows; columns named like the added ones are replaced.
 """
 
@@ -32,11 +32,13 @@ NULL_KEY = -(1 << 63)
 ADDED = ["n_lines", "n_removed", "kept_text"]
 
 
-def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, site, pos, h) of each line that can be boilerplate."""
+def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_words: int = MIN_WORDS, with_short: bool = False) -> DataFrame:
+    """(key, site, pos, h) of each line that can be boilerplate; with_short: of every line with a word, and whether it is short."""
     lines = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_KEY)).alias("key"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     trimmed = lines.select("key", "site", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("line"))
-    return trimmed.filter(F.size(F.split("line", SPACE_RE)) >= min_words).select("key", "site", "pos", F.xxhash64("line", F.char_length("line")).alias("h"))
+    columns = ["key", "site", "pos", F.xxhash64("line", F.char_length("line")).alias("h")]
+    enough = F.size(F.split("line", SPACE_RE)) >= min_words
+    return trimmed.filter("line <> ''").select(*columns, (~enough).alias("short")) if with_short else trimmed.filter(enough).select(*columns)
 
 
 def boilerplate(index: DataFrame, min_sites: int = MIN_SITES, lg_k: int = SKETCH_LG_K) -> DataFrame:
@@ -53,12 +55,13 @@ def boilerplate(index: DataFrame, min_sites: int = MIN_SITES, lg_k: int = SKETCH
     return clear.union(exact).join(shared, "h")
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, short_sites: int | None = None) -> DataFrame:
     """The columns of docs with n_lines (lines with a word), n_removed and kept_text (null text: empty)."""
     tuned(docs.sparkSession)
     docs = docs.drop(*[c for c in ADDED if c not in (text_col, id_col, site_col)])
-    index = written(line_index(docs, id_col, text_col, site_col, min_words))
-    common = written(boilerplate(index, min_sites))
+    index = written(line_index(docs, id_col, text_col, site_col, min_words, short_sites is not None))
+    found = boilerplate(index, min_sites) if short_sites is None else boilerplate(index.filter("not short"), min_sites).union(boilerplate(index.filter("short"), short_sites))
+    common = written(found)
     gone = index.join(common, "h").filter((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
     marks = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("pos").alias("__gone"))
     keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_KEY)))
