@@ -7,14 +7,15 @@ vector whose upper bound reaches the k-th best lower bound, so the bounds decide
 Blocks give their k best, which a second step merges.
 
 Queries travel to the blocks in blocks of their own: a task holds one block of queries and one of candidates, and neither is
-broadcast. Defined results: vectors that are null or zero, or hold null or non-finite components, take no part, nor do those
-whose dimension isn't the most frequent one (ties: the larger); of rows that repeat an id the one with the least
-vector counts; equal scores order by id; an empty table gives no rows; other columns are ignored.
+broadcast. Defined results: vectors that are null or zero, or hold null or non-finite components, take no part; a query's
+neighbours are vectors of its own dimension, and dimensions are searched one by one; of rows that repeat an id the one with the
+least vector counts; equal scores order by id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>) of the rows that take part, before the dimension is looked at."""
+    """(id, v array<double>) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(finite & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
@@ -87,18 +88,18 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, id_col: str = "v
     """(query_id, rank, vec_id, score): the k nearest of each query, found by codes and reranked by the original vectors. is_query is over the column id."""
     spark = vectors.sparkSession
     is_query = F.col("id") % 20 == 0 if is_query is None else is_query
-    rows = usable(vectors, id_col, vector_col)
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    top = dims.orderBy(F.desc("n"), F.desc("d")).first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if top is None:
-        return spark.createDataFrame([], schema)
-    dim, total = int(top["d"]), int(top["n"])
-    rows = written(rows.filter(F.size("v") == dim))
+    rows = written(usable(vectors, id_col, vector_col))
+    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).orderBy("d").collect()
+    parts = [_nearest(rows.filter(F.size("v") == r["d"]), int(r["d"]), int(r["n"]), int(r["q"]), is_query, k, bound, seed) for r in dims if r["q"]]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+
+
+def _nearest(rows: DataFrame, dim: int, total: int, n_queries: int, is_query: Column, k: int, bound: float, seed: int) -> DataFrame:
+    """nearest() over the usable rows of one dimension."""
     mean = rows.agg(*[F.avg(F.col("v")[i]) for i in range(dim)]).first()
     centre, turn = np.array(mean, dtype=np.float64), rotation(dim, seed)
     n_blocks = max(1, -(-total // CANDIDATE_BLOCK))
-    n_query_blocks = max(1, -(-rows.filter(is_query).count() // QUERY_BLOCK))
+    n_query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
