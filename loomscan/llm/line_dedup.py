@@ -1,13 +1,15 @@
 """Removal of lines that many sites share.
 
-Every line with enough words is hashed; HyperLogLog sketches of the sites of each hash merge by aggregation (combined before
-the shuffle, so a line that a third of all documents hold costs a sketch a task). Lines whose estimate is near the threshold,
-within the sketch's error, get an exact distinct count. A line at or over the threshold is boilerplate: it stays at its first
-place (least id, then position) and goes everywhere else.
-
-The index of lines holds hashes, not texts, and is written once. Defined results: null and empty texts have no lines; lines
-of fewer than min_words words are left alone, or with short_sites are boilerplate from that many sites on; a null site counts as none; a null id comes before all others; rows that repeat
-an id are one document; an empty table gives no rows; columns named like the added ones are replaced.
+Every line with a word is hashed; one aggregation gives each hash its first place and the HyperLogLog sketch of its sites
+(combined before the shuffle, so a line that a third of all documents hold costs a sketch a task). Lines whose estimate is near
+their threshold, within the sketch's error, get an exact distinct count. A line at or over the threshold is boilerplate: it
+stays at its first place (least id, then position) and goes everywhere else. Lines of fewer than min_words words have a
+threshold of their own, short_sites, as many of them are ordinary; without one they are left alone.
+
+The index of lines holds hashes, not texts, and is written once. Marks are kept by row, told by the id and a hash of the text,
+so rows that repeat an id with another text are judged by what they hold. Defined results: ids are whole numbers; null and
+empty texts have no lines; a null site counts as none; a null id comes before all others; rows that repeat an id and a text
+have the same lines removed; an empty table gives no rows; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,58 +21,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import SPACE_CHARS, SPACE_RE, tuned, written
+from loomscan.llm.common import SPACE_CHARS, SPACE_RE, lots, row_key, written
 
 MIN_SITES = 6
+#: Sites from which on a line of fewer than MIN_WORDS words is boilerplate: twice those of longer lines.
+SHORT_SITES = 2 * MIN_SITES
 MIN_WORDS = 5
 SKETCH_LG_K = 12
 #: Standard errors of a sketch within which a line is counted exactly.
 NEAR_ERRORS = 4
 #: Places over which the rows of one line are dealt where they are joined with the lines to count exactly.
 SALTS = 32
-NULL_KEY = -(1 << 63)
 ADDED = ["n_lines", "n_removed", "kept_text"]
 
 
 def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_words: int = MIN_WORDS, with_short: bool = False) -> DataFrame:
-    """(key, site, pos, h) of each line that can be boilerplate; with_short: of every line with a word, and whether it is short."""
-    lines = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_KEY)).alias("key"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    trimmed = lines.select("key", "site", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("line"))
-    columns = ["key", "site", "pos", F.xxhash64("line", F.char_length("line")).alias("h")]
+    """(key, row, site, pos, h, short) of each line that can be boilerplate: those of min_words words, or with_short every one with a word."""
+    rows = docs.select(*row_key(id_col, text_col), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
+    lines = rows.select("key", "row", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    trimmed = lines.select("key", "row", "site", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("line"))
     enough = F.size(F.split("line", SPACE_RE)) >= min_words
-    return trimmed.filter("line <> ''").select(*columns, (~enough).alias("short")) if with_short else trimmed.filter(enough).select(*columns)
+    wanted = F.col("line") != "" if with_short else enough
+    return trimmed.filter(wanted).select("key", "row", "site", "pos", F.xxhash64("line", F.char_length("line")).alias("h"), (~enough).alias("short"))
+
+
+def _band(sites: int, lg_k: int) -> int:
+    """Sites by which an estimate near a threshold can be off."""
+    return max(1, math.ceil(NEAR_ERRORS * 1.04 / math.sqrt(1 << lg_k) * sites))
 
 
-def boilerplate(index: DataFrame, min_sites: int = MIN_SITES, lg_k: int = SKETCH_LG_K) -> DataFrame:
-    """(h, first struct<key,pos>) of the lines that at least min_sites sites share."""
-    shared = index.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min(F.struct("key", "pos")).alias("first")).filter(F.col("a") < F.col("b") if min_sites > 1 else F.lit(True)).select("h", "first")
-    sketched = index.filter("site is not null").groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))
-    band = max(1, math.ceil(NEAR_ERRORS * 1.04 / math.sqrt(1 << lg_k) * min_sites))
-    clear = sketched.filter(F.col("estimate") > min_sites + band).select("h")
-    near = sketched.filter(F.abs(F.col("estimate") - min_sites) <= band).select("h")
+def boilerplate(index: DataFrame, min_sites: int = MIN_SITES, short_sites: int | None = None, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """(h, first struct<key,pos>) of the lines that at least min_sites sites share; short_sites for short lines."""
+    short_sites = min_sites if short_sites is None else short_sites
+    pick = lambda long, short: F.when(F.col("short"), F.lit(short)).otherwise(F.lit(long))
+    sketch = F.hll_sketch_agg("site", F.lit(lg_k))
+    sums = index.groupBy("h").agg(F.max("short").alias("short"), F.min(F.struct("key", "pos")).alias("first"), F.hll_sketch_estimate(sketch).alias("estimate"))
+    limit, band = pick(min_sites, short_sites), pick(_band(min_sites, lg_k), _band(short_sites, lg_k))
+    # what is far below its threshold goes before it is written
+    some = written(sums.select("h", "first", "estimate", limit.alias("limit"), band.alias("band")).filter(F.col("estimate") >= F.col("limit") - F.col("band")))
+    clear = some.filter(F.col("estimate") > F.col("limit") + F.col("band")).select("h", "first")
+    near = some.filter(F.col("estimate") <= F.col("limit") + F.col("band"))
     # a line that a third of all rows hold lies in as many places as there are salts, until its sites are combined
     salts = near.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    places = index.filter("site is not null").select("h", "site", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).alias("salt"))
-    exact = places.join(salts, ["h", "salt"]).select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h")
-    return clear.union(exact).join(shared, "h")
+    places = index.filter("site is not null").select("h", "site", F.pmod(F.xxhash64("key", "row", "pos"), F.lit(SALTS)).alias("salt"))
+    exact = places.join(salts, ["h", "salt"]).select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    return clear.union(near.join(exact, "h").filter(F.col("n") >= F.col("limit")).select("h", "first"))
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, short_sites: int | None = None) -> DataFrame:
     """The columns of docs with n_lines (lines with a word), n_removed and kept_text (null text: empty)."""
-    tuned(docs.sparkSession)
     docs = docs.drop(*[c for c in ADDED if c not in (text_col, id_col, site_col)])
     index = written(line_index(docs, id_col, text_col, site_col, min_words, short_sites is not None))
-    found = boilerplate(index, min_sites) if short_sites is None else boilerplate(index.filter("not short"), min_sites).union(boilerplate(index.filter("short"), short_sites))
-    common = written(found)
+    common = written(boilerplate(index, min_sites, short_sites))
     gone = index.join(common, "h").filter((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
-    marks = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_set("pos").alias("__gone"))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_KEY)))
-    joined = keyed.join(marks, "__key", "left").drop("__key")
+    marks = gone.groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__gone"))
+    key, row = row_key(id_col, text_col)
+    joined = docs.select("*", key.alias("__key"), row.alias("__row")).join(marks, ["__key", "__row"], "left").drop("__key", "__row")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             total, n_gone, kept = [], [], []
             for text, marks in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 lines = (text or "").split("\n")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import tuned
+from loomscan.llm.common import lots
 
 CAPACITY = 1024
 #: Open windows that a partition holds at most; beyond it they fill each other early.
@@ -169,7 +169,6 @@ class LevelPacker:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """One row per piece: id, start in the document, length, ids (packed little-endian unsigned 32-bit), tokens of the document, sequence, offset in it, tokens of the sequence."""
-    tuned(docs.sparkSession)
     ranks_path = ranks_path or vocabulary_path()
     json_path = json_path or vocabulary_path("byte_bpe_50k.json")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -198,7 +197,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     offset += len(ids)
                 sequence += 1
 
-        for batch in batches:
+        for batch in lots(batches):
             id_type = batch.schema.field("doc_id").type
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 emit(packer.add(key, np.concatenate([encode(text), end]) if text else end))

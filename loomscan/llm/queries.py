@@ -39,7 +39,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    found = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), short_sites=line_dedup.SHORT_SITES)
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
 
 
@@ -77,7 +77,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
 e AS (SELECT rid, doc_id, source, unnest(l) AS x, unnest(range(len(l))) AS pos FROM d),
 n AS (SELECT *, list_filter(regexp_split_to_array(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t-\r]+'), lambda y: y <> '') AS w, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM e),
-b AS (SELECT t, min(struct_pack(a := doc_id, b := pos)) AS f FROM n WHERE len(w) >= {line_dedup.MIN_WORDS} GROUP BY t HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+b AS (SELECT t, min(struct_pack(a := doc_id, b := pos)) AS f FROM n WHERE len(w) > 0 GROUP BY t HAVING count(DISTINCT source) >= CASE WHEN any_value(len(w)) < {line_dedup.MIN_WORDS} THEN {line_dedup.SHORT_SITES} ELSE {line_dedup.MIN_SITES} END),
 m AS (SELECT n.rid, n.pos, n.x, len(n.w) AS k, b.t IS NOT NULL AND (b.f.a <> n.doc_id OR b.f.b <> n.pos) AS gone FROM n LEFT JOIN b ON n.t = b.t),
 s AS (SELECT rid, sum(CAST(k > 0 AS BIGINT)) AS n_lines, sum(CAST(gone AS BIGINT)) AS n_removed, string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY rid)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, md5(coalesce(kept, '')) AS kept_md5 FROM d LEFT JOIN s ON d.rid = s.rid

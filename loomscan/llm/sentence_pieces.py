@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import tuned
+from loomscan.llm.common import lots
 
 N_BEST = 3
 SPACE = "▁"
@@ -300,14 +300,13 @@ def vocabulary_path() -> str:
 
 def encode(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """(doc_id, rank, score, n_pieces, ids binary: little-endian 32-bit) of the n best segmentations of each row."""
-    tuned(docs.sparkSession)
     path = model_path or vocabulary_path()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(Pieces.load(path), n)
-        for batch in batches:
+        for batch in lots(batches):
             texts, lo = batch.column("text").to_pylist(), 0
             while lo < len(texts):
                 hi, size = lo, 0
@@ -332,7 +331,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model_path: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(path)
-        for batch in batches:
+        for batch in lots(batches):
             texts = [None if x is None else pieces.decode(np.frombuffer(x, dtype="<i4")) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, "decoded"])
 

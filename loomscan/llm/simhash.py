@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import partitions, tuned, written
+from loomscan.llm.common import lots, partitions, written
 from loomscan.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -82,10 +82,9 @@ def spanning_links(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp bigint) of each row: the fingerprint's 64 bits as a signed number."""
-    tuned(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             prints = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
@@ -105,7 +104,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     more = rows.join(buckets.filter("n > 2").select("t", "k"), ["t", "k"]).groupBy("t", "k").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             a, b = [], []
             for ids, prints in zip(batch.column("nodes"), batch.column("fps"), strict=True):
                 ids = ids.values.to_numpy(zero_copy_only=False)

@@ -7,15 +7,21 @@ the places of all windows but the first. Each task sends a string once, with its
 string in the task is a repeat for certain and skips the bucket, so what a bucket gets of one string is bounded by the number
 of tasks, however many documents hold it. Strings for one bucket travel together, compressed.
 
-Defined results: null and empty texts have no words; texts shorter than a window keep all words; "earlier" compares (id,
-word position), a null id before all others; rows that repeat an id are one document, so an equal place isn't an earlier one;
-an empty table gives no rows; columns named like the added ones are replaced.
+A minimiser can be frequent in strings that differ, such as a phrase that a third of all documents hold in other contexts. The
+windows of such hot minimisers travel one by one to the bucket of their own hash, which deals them evenly. Which minimisers are
+hot is read from a sample of rows; every task uses the same list, so equal windows meet whatever the sample says, and results
+don't depend on it.
+
+Marks are kept by row, told by the id and a hash of the text, so rows that repeat an id with another text are judged by what
+they hold. Defined results: ids are whole numbers; null and empty texts have no words; texts shorter than a window keep all
+words; "earlier" compares (id, word position), a null id before all others, so of equal places in rows that share an id none is
+earlier; an empty table gives no rows; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,26 +31,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import partitions, tuned
+from loomscan.llm.common import lots, partitions, row_key, written
 
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 4
 #: Buckets for each shuffle partition, and bytes of strings that a task gathers before it sends them.
 BUCKETS_PER_PARTITION = 8
 GATHER_BYTES = 24 << 20
-NULL_KEY = -(1 << 63)
+#: One row in so many is sampled for hot minimisers: those with more than HOT_SHARE of a partition's share of all strings, and at least HOT_LEAST.
+SAMPLE_ROWS = 64
+HOT_LEAST = 20
+HOT_SHARE = 0.25
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-_FOUND = pa.schema([("key", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_FOUND = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -52,6 +53,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _numbered(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of the words whose separators stand at ends, and the words (with a separator) that the numbers stand for."""
+    offsets = np.concatenate([[0], ends + 1]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+class Texts:
+    """The words of many texts: one buffer in which each word is followed by one space, and a hash of each word."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        before = np.concatenate([[True], space[:-1]])
+        last = np.flatnonzero(space & ~before)
+        ends_of_texts = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1
+        #: Where the words of text i begin among all words: first[i] to first[i + 1].
+        self.first = np.concatenate([[0], np.searchsorted(last, ends_of_texts, side="right")])
+        data = raw[~(space & before)].copy()
+        ends = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+        data[ends] = 32
+        self.data = data.tobytes()
+        #: Where each word begins in data.
+        self.at = np.concatenate([[0], ends + 1])
+        if len(ends):
+            numbers, words = _numbered(data, ends)
+            self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words))[numbers]
+        else:
+            self.hashes = np.zeros(0, dtype=np.uint64)
+
+
 def super_kmers(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and minimiser of each super-k-mer of a text's word hashes (at least k)."""
     runs = len(hashes) - m + 1
@@ -66,35 +98,60 @@ def super_kmers(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndar
     return first, np.diff(np.append(first, len(at))), grams[at[first]]
 
 
-def merged(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    """Intervals of words, with those that touch or overlap inside a key as one."""
-    order = np.lexsort((starts, keys))
-    keys, starts, ends = keys[order], starts[order], ends[order]
+def single_windows(first: np.ndarray, count: np.ndarray, least: np.ndarray, hot: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers with those of hot minimisers (in order) taken apart: each of their windows stands alone, under its own hash."""
+    apart = np.isin(least, hot)
+    if not apart.any():
+        return first, count, least
+    times = np.where(apart, count, 1)
+    place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    starts, apart_now = np.repeat(first, times) + place, np.repeat(apart, times)
+    counts, under = np.where(apart_now, 1, np.repeat(count, times)), np.repeat(least, times)
+    own = np.zeros(int(apart_now.sum()), dtype=np.uint64)
+    for j in range(k):
+        own = own * _ODD + hashes[starts[apart_now] + j]
+    under[apart_now] = _mixed(own)
+    return starts, counts, under
+
+
+def merged(keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """Intervals of words, with those that touch or overlap inside a row as one."""
+    order = np.lexsort((starts, rows, keys))
+    keys, rows, starts, ends = keys[order], rows[order], starts[order], ends[order]
     if len(keys):
-        reach = ends.copy()
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (starts[1:] > reach[:-1])
+        other = np.ones(len(keys), dtype=bool)
+        other[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+        # how far the intervals of a row reach so far: rows are told apart by shifting each beyond the one before
+        shift = np.cumsum(other) * (int(ends.max()) + 1)
+        reach = np.maximum.accumulate(ends + shift)
+        new = other.copy()
+        new[1:] |= starts[1:] + shift[1:] > reach[:-1]
         head = np.flatnonzero(new)
-        keys, starts, ends = keys[head], starts[head], np.maximum.reduceat(ends, head)
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(starts), pa.array(ends)], schema=_FOUND)
+        keys, rows, starts, ends = keys[head], rows[head], starts[head], np.maximum.reduceat(ends, head)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, rows, starts, ends)], schema=_FOUND)
 
 
-def repeats(contents: list[bytes], keys: np.ndarray, starts: np.ndarray, k: int) -> pa.RecordBatch:
+def repeats(contents: list[bytes], keys: np.ndarray, rows: np.ndarray, starts: np.ndarray, k: int) -> pa.RecordBatch:
     """The intervals covered by windows whose words also start earlier, among the strings of a bucket."""
-    lengths = np.array([c.count(b" ") + 1 for c in contents], dtype=np.int64)
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    ids = np.array([numbers[w] for w in b" ".join(contents).split(b" ")], dtype=np.int64)
-    hashes = _mixed((np.arange(1, len(numbers) + 1, dtype=np.uint64)) * _ODD)[ids]
+    data = np.frombuffer(b"\n".join(contents) + b"\n", dtype=np.uint8).copy()
+    ends = np.flatnonzero((data == 32) | (data == 10))
+    last = np.flatnonzero(data[ends] == 10)
+    lengths = np.diff(np.concatenate([[-1], last]))
+    data[ends] = 32
+    ids, words = _numbered(data, ends)
+    hashes = _mixed((np.arange(1, len(words) + 1, dtype=np.uint64)) * _ODD)[ids]
     powers = np.multiply.accumulate(np.full(len(ids), _ODD))
     inverse = np.multiply.accumulate(np.full(len(ids), _INVERSE))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
-    base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    hashes *= powers
+    del powers, data
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes, dtype=np.uint64)])
+    base = np.cumsum(lengths) - lengths
     counts = lengths - k + 1
-    owner = np.repeat(np.arange(len(contents)), counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = base[owner] + inside
     value = (sums[at + k] - sums[at]) * inverse[at]
+    del hashes, inverse, sums
     order = np.argsort(value, kind="stable")
     equal = value[order[1:]] == value[order[:-1]]
     twice = np.zeros(len(order), dtype=bool)
@@ -102,7 +159,7 @@ def repeats(contents: list[bytes], keys: np.ndarray, starts: np.ndarray, k: int)
     twice[:-1] |= equal
     some = order[twice]
     if not len(some):
-        return merged(*[np.zeros(0, dtype=np.int64)] * 3)
+        return merged(*[np.zeros(0, dtype=np.int64)] * 4)
     group, key, start = value[some], keys[owner[some]], starts[owner[some]] + inside[some]
 
     def firsts(group):
@@ -121,56 +178,83 @@ def repeats(contents: list[bytes], keys: np.ndarray, starts: np.ndarray, k: int)
 
     order, first = firsts(group)
     if not same(order, first):  # two windows share a hash: compare by the words themselves
-        rows = ids[at[some][:, None] + np.arange(k)]
-        order, first = firsts(np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint64))
+        spelled = ids[at[some][:, None] + np.arange(k)]
+        order, first = firsts(np.unique(spelled, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint64))
     later = (key[order] != key[first]) | (start[order] != start[first])
     got = order[later]
-    return merged(key[got], start[got], start[got] + k)
+    return merged(key[got], rows[owner[some[got]]], start[got], start[got] + k)
+
+
+def hot_minimisers(source: DataFrame, k: int, m: int) -> np.ndarray:
+    """Minimisers, in order, that a sample of rows (key, row, text) holds more often than a shuffle partition's share."""
+    share = partitions(source.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lots(batches):
+            texts, found = Texts(batch.column("text").cast(pa.binary()).to_pylist()), Counter()
+            for lo, hi in zip(texts.first[:-1].tolist(), texts.first[1:].tolist(), strict=True):
+                if hi - lo >= k:
+                    found.update(super_kmers(texts.hashes[lo:hi], k, m)[2].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.int64()), pa.array(list(found.values()), type=pa.int64())], names=["h", "n"])
+
+    sample = source.filter((F.pmod(F.xxhash64("key", "row"), F.lit(SAMPLE_ROWS)) == 0) & F.col("text").isNotNull())
+    sums = written(sample.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    total = sums.select("n").agg(F.sum("n")).first()[0] or 0
+    rows = sums.filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * total / share)).select("h").collect()  # no more than four for each partition
+    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_WORDS, m: int = MINIMISER_WORDS) -> DataFrame:
-    """(key, s, e): word intervals [s, e) to remove from the document whose id, null as the least long, is key."""
-    spark = tuned(docs.sparkSession)
+    """(key, row, s, e): word intervals [s, e) to remove from the rows with that key and row (see row_key)."""
+    spark = docs.sparkSession
     n_buckets = BUCKETS_PER_PARTITION * partitions(spark)
     sent_schema = "bucket int, packed binary, places binary, done binary"
+    source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    hot = hot_minimisers(source, k, m)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, done, gathered = WordHashes(), {}, [], 0
+        seen: dict[bytes, tuple[int, list]] = {}
+        done, gathered = [], 0
         packer = zstandard.ZstdCompressor(level=1)
 
         def flush() -> pa.RecordBatch:
             by: dict[int, list] = {}
-            for content, (bucket, key, start) in seen.items():
-                by.setdefault(bucket, []).append((content, key, start))
-            rows = [(b, packer.compress(b"\n".join(x[0] for x in xs)), np.array([(x[1], x[2]) for x in xs], dtype=np.int64).tobytes(), b"") for b, xs in by.items()]
+            for content, (bucket, places) in seen.items():
+                by.setdefault(bucket, []).extend((content, place) for place in places)
+            rows = [(b, packer.compress(b"\n".join(x[0] for x in xs)), np.array([x[1] for x in xs], dtype=np.int64).tobytes(), b"") for b, xs in by.items()]
             if done:
                 parts = merged(*np.array(done, dtype=np.int64).T)
-                rows.append((int(done[0][0]) % n_buckets, b"", b"", np.array([parts.column(i).to_numpy() for i in range(3)]).tobytes()))
+                rows.append((abs(int(done[0][1])) % n_buckets, b"", b"", np.array([parts.column(i).to_numpy() for i in range(4)]).tobytes()))
             seen.clear()
             done.clear()
             cols = list(zip(*rows, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(cols[0], type=pa.int32()), *(pa.array(c, type=pa.binary()) for c in cols[1:])], names=["bucket", "packed", "places", "done"])
 
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                found = (text or b"").split()
-                if len(found) < k:
+        for batch in lots(batches):
+            texts = Texts([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
+            data, at = texts.data, texts.at
+            for key, row, lo, hi in zip(batch.column("key").to_pylist(), batch.column("row").to_pylist(), texts.first[:-1].tolist(), texts.first[1:].tolist(), strict=True):
+                if hi - lo < k:
                     continue
-                joined = b" ".join(found)
-                offsets = [0, *np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1).tolist()]
-                first, count, least = super_kmers(np.array([known[w] for w in found], dtype=np.uint64), k, m)
-                for s, n, bucket in zip(first.tolist(), count.tolist(), (least % np.uint64(n_buckets)).tolist(), strict=True):
-                    content = joined[offsets[s] : offsets[s + n + k - 1] - 1]
+                first, count, least = super_kmers(texts.hashes[lo:hi], k, m)
+                if len(hot):
+                    first, count, least = single_windows(first, count, least, hot, texts.hashes[lo:hi], k)
+                begin, end = at[lo + first].tolist(), (at[lo + first + count + k - 1] - 1).tolist()
+                for s, n, a, b, bucket in zip(first.tolist(), count.tolist(), begin, end, (least % np.uint64(n_buckets)).tolist(), strict=True):
+                    content = data[a:b]
                     old = seen.get(content)
                     if old is None:
-                        seen[content] = (bucket, key, s)
-                        gathered += len(content)
+                        seen[content] = (bucket, [(key, row, s)])
+                        gathered += b - a
                         continue
-                    if (key, s) < old[1:]:
-                        seen[content] = (bucket, key, s)
-                        done.append((old[1], old[2], old[2] + n + k - 1))
-                    elif (key, s) > old[1:]:
-                        done.append((key, s, s + n + k - 1))
+                    old_key, _, old_s = old[1][0]
+                    if (key, s) < (old_key, old_s):
+                        done += [(*place, place[2] + n + k - 1) for place in old[1]]
+                        seen[content] = (bucket, [(key, row, s)])
+                    elif (key, s) > (old_key, old_s):
+                        done.append((key, row, s, s + n + k - 1))
+                    elif (key, row, s) not in old[1]:  # the same place of another row with the id
+                        old[1].append((key, row, s))
                 if gathered > GATHER_BYTES or len(done) > 200_000:
                     yield flush()
                     gathered = 0
@@ -181,17 +265,16 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         opener, contents, places, out = zstandard.ZstdDecompressor(), [], [], []
         for packed, place, done in zip(*(table.column(c).to_pylist() for c in ("packed", "places", "done")), strict=True):
             if done:
-                out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(done, dtype=np.int64).reshape(3, -1)], schema=_FOUND))
+                out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(done, dtype=np.int64).reshape(4, -1)], schema=_FOUND))
             if packed:
-                contents += opener.decompress(packed).split(b"\n")
-                places.append(np.frombuffer(place, dtype=np.int64).reshape(-1, 2))
+                contents.append(opener.decompress(packed))
+                places.append(np.frombuffer(place, dtype=np.int64).reshape(-1, 3))
         if contents:
             where = np.concatenate(places)
-            out.append(repeats(contents, where[:, 0], where[:, 1], k))
+            out.append(repeats(contents, where[:, 0], where[:, 1], where[:, 2], k))
         return pa.Table.from_batches(out, schema=_FOUND)
 
-    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_KEY)).alias("key"), F.col(text_col).alias("text"))
-    return source.mapInArrow(send, sent_schema).groupBy("bucket").applyInArrow(bucket, "key bigint, s bigint, e bigint")
+    return source.mapInArrow(send, sent_schema).groupBy("bucket").applyInArrow(bucket, "key bigint, row bigint, s bigint, e bigint")
 
 
 def without(text: bytes, drop: np.ndarray) -> bytes:
@@ -216,14 +299,14 @@ ADDED = ["n_words", "n_removed", "kept_text"]
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_WORDS, m: int = MINIMISER_WORDS) -> DataFrame:
     """The columns of docs with n_words, n_removed and kept_text (null text: empty)."""
     docs = docs.drop(*[c for c in ADDED if c != text_col])
-    marks = repeated_intervals(docs, id_col, text_col, k, m).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("s", "e")).alias("__marks"))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_KEY)))
-    joined = keyed.join(marks, "__key", "left").drop("__key")
+    marks = repeated_intervals(docs, id_col, text_col, k, m).groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("s", "e")).alias("__marks"))
+    key, row = row_key(id_col, text_col)
+    joined = docs.select("*", key.alias("__key"), row.alias("__row")).join(marks, ["__key", "__row"], "left").drop("__key", "__row")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches):
             total, gone, kept = [], [], []
             for text, marks in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("__marks").to_pylist(), strict=True):
                 text = text or b""

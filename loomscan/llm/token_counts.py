@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import tuned
+from loomscan.llm.common import lots
 from loomscan.llm.packing import byte_bpe, vocabulary_path
 
 #: Pieces in one leaf, and characters before an edit on which the split of what follows can depend.
@@ -185,7 +185,6 @@ def redactions(text: str) -> list[Edit]:
 
 def count_tokens(docs: DataFrame, edits: Callable[[str], list[Edit]] | None = redactions, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_edits, n_tokens_after, n_pieces, n_recounted, edited_text) of each row. Edits come from a column of structs (start, end, new), or from a function of the text."""
-    tuned(docs.sparkSession)
     ranks_path, json_path = ranks_path or vocabulary_path(), json_path or vocabulary_path("byte_bpe_50k.json")
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")] + ([F.col(edits_col).alias("edits")] if edits_col else [])
     source = docs.select(*columns)
@@ -197,7 +196,7 @@ def count_tokens(docs: DataFrame, edits: Callable[[str], list[Edit]] | None = re
         from public_tokenizers import PATTERN
 
         split, counts = regex.compile(PATTERN).findall, PieceCounts(byte_bpe(ranks_path, json_path))
-        for batch in batches:
+        for batch in lots(batches):
             out: list[tuple] = []
             texts = batch.column("text").to_pylist()
             given = [[(e["start"], e["end"], e["new"] or "") for e in x or ()] for x in batch.column("edits").to_pylist()] if edits_col else None

@@ -57,3 +57,23 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"]) for r in line_dedup.remove_boilerplate(df, min_sites=3).collect()), key=str)
     assert got == sorted([(None, 1, 0), (1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 2, 2), (4, 0, 0)], key=str)
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark, tmp_path):
+    """Another text under the same id: what is removed of one row doesn't touch the other. Held against the query's SQL."""
+    from loomscan.llm.queries import ORACLE_SQL, op7_line_dedup
+
+    common = "a line that all sites of this table share"
+    rows = [(i, f"s{i}", common) for i in range(8)] + [(3, "s1", "unique content that must not be removed"), (3, "s1", f"first an own line\n{common}"), (0, "s2", f"x\n{common}\ny")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert same(op7_line_dedup(spark, str(tmp_path)), ORACLE_SQL["op7_line_dedup"], views={"documents": str(tmp_path / "documents.parquet")}) == len(rows)
+
+
+def test_very_long_text_and_short_lines_against_brute_force(spark):
+    """A text of many lines, and short lines on sites around their own threshold."""
+    long = "\n".join(f"line {i % 5000} of a very long text" for i in range(60000))
+    rows = [(1, "s1", long), *[(10 + i, f"s{i}", "\n".join(["Read it"] + ["Seen on one less"] * (i < 11) + [f"line {i} of a very long text"])) for i in range(12)]]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), short_sites=12)
+    kept = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in got.collect()}
+    assert kept[1] == (0, long)
+    assert kept[10][0] == 0 and kept[11] == (1, "Seen on one less\nline 1 of a very long text")

@@ -82,6 +82,35 @@ def test_super_kmers_hold_every_window_once():
 
 def test_hash_collisions_are_told_apart(monkeypatch):
     contents = [b"a b c", b"a b d", b"x a b c"]
-    want = repeats(contents, np.array([1, 2, 3]), np.array([0, 0, 0]), 3).to_pylist()
+    want = repeats(contents, np.array([1, 2, 3]), np.array([7, 8, 9]), np.array([0, 0, 0]), 3).to_pylist()
     monkeypatch.setattr(substring_dedup, "_mixed", lambda x: np.zeros_like(x))
-    assert repeats(contents, np.array([1, 2, 3]), np.array([0, 0, 0]), 3).to_pylist() == want == [{"key": 3, "s": 1, "e": 4}]
+    assert repeats(contents, np.array([1, 2, 3]), np.array([7, 8, 9]), np.array([0, 0, 0]), 3).to_pylist() == want == [{"key": 3, "row": 9, "s": 1, "e": 4}]
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark, tmp_path):
+    """Another text under the same id: what is removed of one row doesn't touch the other. Held against the query's SQL."""
+    from loomscan.llm.queries import ORACLE_SQL, op4_substring_dedup
+
+    passage = [f"p{i}" for i in range(25)]
+    rows = [(1, " ".join(passage + ["x"] + passage)), (1, " ".join(f"u{i}" for i in range(25))), (1, " ".join(passage + ["x"] + passage)), (1, " ".join(["y"] + passage))]
+    rows += [(2, " ".join(passage)), (2, " ".join(f"v{i}" for i in range(30))), (2, " ".join(["z", "z"] + [f"v{i}" for i in range(30)])), (0, " ".join(f"v{i}" for i in range(28)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert same(op4_substring_dedup(spark, str(tmp_path)), ORACLE_SQL["op4_substring_dedup"], views={"documents": str(tmp_path / "documents.parquet")}) == len(rows)
+    kept = {(r["doc_id"], r["text"]): r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()}
+    assert kept[rows[1]] == 0 and kept[rows[4]] == 25
+
+
+def test_windows_of_hot_minimisers_travel_alone(spark, monkeypatch):
+    """Every minimiser hot: the same rows as with none."""
+    rows = corpus(5, 60, 80, [f"w{i}" for i in range(40)])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {}
+    for name, sample, least in (("none", 1, 1 << 60), ("all", 1, 0)):
+        monkeypatch.setattr(substring_dedup, "SAMPLE_ROWS", sample)
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.0)
+        hot = substring_dedup.hot_minimisers(df.selectExpr("doc_id AS key", "0L AS row", "text"), 6, 2)
+        assert (len(hot) > 30) == (name == "all")
+        found[name] = sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(df, k=6, m=2).collect())
+    assert found["none"] == found["all"] and [x[1] for x in found["all"]] == [x[2] for x in sorted(slow(rows, 6))]
