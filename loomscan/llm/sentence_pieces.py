@@ -5,14 +5,19 @@ scores forward, then A* from the end backward, for which those scores are the ex
 segmentations come out best first. No piece crosses certain places (checked against the vocabulary when it is loaded), so a
 text falls into segments whose lattices are independent. Their Viterbi scores, forward and backward, are worked out for many
 segments at once as arrays, and remembered; they give each segment's best score and its loss to the second best. For the n
-best of a text only the n - 1 segments with the smallest losses need be searched by A*, and their lists are merged.
+best of a text only segments whose loss is no more than the (n - 1)-th smallest can differ from their best; those are searched
+by A*, and their lists are merged from left to right.
+
+Segmentations stand in one order everywhere: by score, and equal scores by the longer of the last pieces that differ. The order
+of a text's follows from those of its segments, read from the last. Scores are summed as whole numbers (of 2^-20), so that equal
+ones are equal in whatever order they are summed.
 
 A character without a piece takes its byte pieces, at a score below every piece but such placeholders. Control pieces are never used. Decoding
 joins the pieces' bytes and drops the leading space that encoding put.
 
 Defined results: null and empty texts have one segmentation, of no piece, with score 0; a text with fewer than n
-segmentations gives those it has; equal scores order by the longer first differing piece; repeated rows are encoded each; an
-empty table gives no rows; other columns are ignored.
+segmentations gives those it has; equal scores order by the longer of the last pieces that differ; repeated rows are encoded
+each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,20 +44,60 @@ ARRAY_LENGTH = 40
 MULTIPLIER = 0x9E3779B97F4A7C15
 SPREAD = 0xD6E8FEB86659FD93
 FIRST_BITS = 18
+#: Scores are whole numbers of 1 / UNIT; NEVER is below all sums of them.
+UNIT = 1 << 20
+NEVER = -(1 << 61)
 #: Pieces with scores of this and less stand in the vocabulary only so that every text has pieces.
 PLACEHOLDER = -1e8
 
 
+class Tail:
+    """The end of a segmentation, from a place on: its first piece and what comes after. Of two the one with the longer last differing piece comes first.
+
+    Each knows one more end of its own (jump), far enough away that any is reached in few steps; so two are compared in a time
+    that grows with the logarithm of their pieces.
+    """
+
+    __slots__ = ("after", "at", "depth", "ids", "jump")
+
+    def __init__(self, at: int, depth: int, ids: tuple[int, ...], after: Tail | None):
+        self.at, self.depth, self.ids, self.after = at, depth, ids, after
+        if after is None:
+            self.jump = self
+        else:
+            far = after.jump
+            self.jump = far.jump if after.depth - far.depth == far.depth - far.jump.depth else after
+
+    def cut(self, depth: int) -> Tail:
+        """The end of so many pieces."""
+        x = self
+        while x.depth > depth:
+            x = x.jump if x.jump.depth >= depth else x.after
+        return x
+
+    def __lt__(self, other: Tail) -> bool:
+        depth = min(self.depth, other.depth)
+        a, b = self.cut(depth), other.cut(depth)
+        if a is b:
+            return self.depth > other.depth
+        while a.after is not b.after:
+            if a.jump is b.jump:
+                a, b = a.after, b.after
+            else:
+                a, b = a.jump, b.jump
+        return a.at < b.at  # both end at the same place, so the one that begins earlier is longer
+
+
 class Pieces:
     """A vocabulary: pieces with scores, byte pieces, and where a text may be cut."""
 
     def __init__(self, pieces: list[tuple[str, float, bool]]):
         """pieces: (piece, score, usable) by id; byte pieces are written <0xNN>."""
-        self.ids: dict[str, tuple[int, float]] = {}
+        self.ids: dict[str, tuple[int, int]] = {}
         self.bytes: list[int] = [0] * 256
         self.surface: list[bytes] = []
         scores = [s for p, s, ok in pieces if ok and not re.fullmatch("<0x[0-9A-F]{2}>", p)]
-        self.penalty = min((s for s in scores if s > PLACEHOLDER), default=0.0) - 10.0
+        self.penalty = round((min((s for s in scores if s > PLACEHOLDER), default=0.0) - 10.0) * UNIT)
         for i, (p, s, ok) in enumerate(pieces):
             if re.fullmatch("<0x[0-9A-F]{2}>", p):
                 self.bytes[int(p[3:5], 16)] = i
@@ -60,7 +105,7 @@ class Pieces:
                 continue
             self.surface.append(p.replace(SPACE, " ").encode() if ok else b"")
             if ok:
-                self.ids[p] = (i, s)
+                self.ids[p] = (i, round(s * UNIT))
         self.lengths = np.array([len(x) for x in self.surface], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.surface) or b" ", dtype=np.uint8)
@@ -80,11 +125,11 @@ class Pieces:
         n = model.get_piece_size()
         return Pieces([(model.id_to_piece(i), model.get_score(i), not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))) for i in range(n)])
 
-    def lattice(self, text: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
-        """By end: (start, score, ids) of each edge; by position: the best score from the start."""
+    def lattice(self, text: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[int]]:
+        """By end: (start, score, ids) of each edge, the longest first; by position: the best score from the start."""
         n, get, longest = len(text), self.ids.get, self.longest
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        best = [0.0] + [-np.inf] * n
+        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        best: list = [0] + [-np.inf] * n
         for i in range(n):
             here = best[i]
             for j in range(i + 1, min(n, i + longest) + 1):
@@ -101,23 +146,34 @@ class Pieces:
                     best[j] = here + score
         return into, best
 
-    def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one segment, best first, by A* from its end."""
+    def n_best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+        """(score, ids, lengths of the pieces from the last) of the n best segmentations of one segment, in order, by A* from its end.
+
+        The agenda orders ends of equal promise as whole segmentations of equal score are ordered, so they come out in order.
+        A place need not be left more than n times, as no more of what follows it can be among the n best.
+        """
         into, best = self.lattice(text)
-        agenda: list = [(-best[-1], 0, len(text), 0.0, None)]
-        out, count = [], 0
+        agenda: list = [(-best[-1], Tail(len(text), 0, (), None))]
+        left, out = [0] * (len(text) + 1), []
         while agenda and len(out) < n:
-            _, _, at, done, tail = heapq.heappop(agenda)
+            promise, tail = heapq.heappop(agenda)
+            at = tail.at
+            if left[at] == n:
+                continue
+            left[at] += 1
             if at == 0:
                 ids: list[int] = []
-                while tail is not None:
-                    ids += tail[0]
-                    tail = tail[1]
-                out.append((done, tuple(ids)))
+                lengths: list[int] = []
+                step = tail
+                while step.after is not None:
+                    ids += step.ids
+                    lengths.append(step.after.at - step.at)
+                    step = step.after
+                out.append((-promise, tuple(ids), tuple(reversed(lengths))))
                 continue
-            for start, score, ids in into[at]:
-                count -= 1
-                heapq.heappush(agenda, (-(best[start] + score + done), count, start, done + score, (ids, tail)))
+            done = -promise - best[at]
+            for start, score, piece in into[at]:
+                heapq.heappush(agenda, (-(best[start] + score + done), Tail(start, tail.depth + 1, piece, tail)))
         return out
 
     def decode(self, ids) -> str:
@@ -145,7 +201,7 @@ class Solved:
         self.most = int(np.bincount(first).max()) if len(first) else 0
         values = list(pieces.ids.values())
         self.ids = np.array([v[0] for v in values], dtype=np.int32)[order]
-        self.scores = np.array([v[1] for v in values])[order]
+        self.scores = np.array([v[1] for v in values], dtype=np.int64)[order]
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -165,7 +221,7 @@ class Solved:
             hit = self.hashes[at] == h
         return at, hit
 
-    def __call__(self, segments: list[str]) -> Iterator[tuple[str, tuple[bytes, float, int, float]]]:
+    def __call__(self, segments: list[str]) -> Iterator[tuple[str, tuple[bytes, int, int, int]]]:
         """(segment, (ids of the best segmentation, its score, its pieces, the loss to the second best)) of each."""
         by_length: dict[int, list[str]] = {}
         for s in segments:
@@ -174,13 +230,13 @@ class Solved:
             if length > ARRAY_LENGTH:
                 for s in group:
                     two = self.pieces.n_best(s, 2)
-                    yield s, (np.array(two[0][1], dtype="<i4").tobytes(), two[0][0], len(two[0][1]), two[0][0] - two[1][0] if len(two) > 1 else np.inf)
+                    yield s, (np.array(two[0][1], dtype="<i4").tobytes(), two[0][0], len(two[0][1]), two[0][0] - two[1][0] if len(two) > 1 else -NEVER)
                 continue
             for at in range(0, len(group), ARRAY_ROWS):
                 part = group[at : at + ARRAY_ROWS]
                 yield from zip(part, self._solve(part, length), strict=True)
 
-    def _solve(self, group: list[str], length: int) -> Iterator[tuple[bytes, float, int, float]]:
+    def _solve(self, group: list[str], length: int) -> Iterator[tuple[bytes, int, int, int]]:
         n, longest = len(group), min(self.pieces.longest, length)
         codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length).T.astype(np.uint64) + np.uint64(1)
         edges, found = {}, {}  # by piece length, for those that are found: scores and ids, by start and segment
@@ -190,14 +246,14 @@ class Solved:
             at, hit = self._look_up(h)
             if size > 1 and not hit.any():
                 continue
-            score, ids = np.where(hit, self.scores[at], -np.inf), np.where(hit, self.ids[at], -1)
+            score, ids = np.where(hit, self.scores[at], NEVER), np.where(hit, self.ids[at], -1)
             if size == 1:
                 point = codes - np.uint64(1)
                 width = 1 + (point > 0x7F).astype(int) + (point > 0x7FF) + (point > 0xFFFF)
                 score = np.where(hit, score, self.pieces.penalty * width)
             edges[size], found[size] = score, ids
         sizes = sorted(edges, reverse=True)
-        ahead, taken = np.full((length + 1, n), -np.inf), np.zeros((length + 1, n), dtype=np.int64)
+        ahead, taken = np.full((length + 1, n), NEVER), np.zeros((length + 1, n), dtype=np.int64)
         ahead[0] = 0
         for j in range(1, length + 1):
             for size in sizes:
@@ -207,14 +263,14 @@ class Solved:
                 better = cost > ahead[j]
                 ahead[j][better] = cost[better]
                 taken[j][better] = size
-        behind = np.full((length + 1, n), -np.inf)
+        behind = np.full((length + 1, n), NEVER)
         behind[length] = 0
         for i in range(length - 1, -1, -1):
             for size in sizes:
                 if size <= length - i:
                     np.maximum(behind[i], edges[size][i] + behind[i + size], out=behind[i])
         flat_ids = np.full((sizes[0] + 1, length, n), -1, dtype=np.int32)
-        other = np.full((sizes[0] + 1, length, n), -np.inf)
+        other = np.full((sizes[0] + 1, length, n), NEVER)
         for size in sizes:
             flat_ids[size, : length - size + 1] = found[size]
             other[size, : length - size + 1] = ahead[: length - size + 1] + edges[size] + behind[size:]
@@ -227,10 +283,11 @@ class Solved:
             count[rows] += 1
             best_ids[rows, length - count[rows]] = flat_ids[size, start, rows]
             where[rows, length - count[rows]] = start
-            other[size, start, rows] = -np.inf
+            other[size, start, rows] = NEVER
             more = start > 0
             rows, end = rows[more], start[more]
-        loss = ahead[length] - other.max(axis=(0, 1))
+        second = other.max(axis=(0, 1))
+        loss = np.where(second > NEVER // 2, ahead[length] - second, -NEVER)
         odd = ((best_ids < 0) & (where >= 0)).any(axis=1).tolist()
         raw, step = best_ids.tobytes(), 4 * length
         for k, (score, pieces, lost) in enumerate(zip(ahead[length].tolist(), count.tolist(), loss.tolist(), strict=True)):
@@ -249,7 +306,8 @@ class Segmenter:
     def __init__(self, pieces: Pieces, n: int):
         self.pieces, self.n = pieces, n
         self.solved = Solved(pieces)
-        self.known: dict[str, tuple[bytes, float, int, float]] = {}
+        self.known: dict[str, tuple[bytes, int, int, int]] = {}
+        self.searched: dict[str, list[tuple[int, int, bytes, int]]] = {}
 
     def segments(self, text: str | None) -> list[str]:
         return self.pieces.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -259,6 +317,8 @@ class Segmenter:
         split = [self.segments(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.searched) > REMEMBERED:
+            self.searched.clear()
         missing = set().union(*split).difference(self.known)
         self.known.update(self.solved(list(missing)))
         for segments in split:
@@ -267,28 +327,46 @@ class Segmenter:
     def encode(self, text: str | None) -> list[tuple[float, bytes, int]]:
         return next(self.encode_all([text]))
 
+    def _search(self, segment: str) -> list[tuple[int, int, bytes, int]]:
+        """(loss, place among the n by the longer last differing piece, ids, pieces) of the n best, in order."""
+        found = self.searched.get(segment)
+        if found is None:
+            best = self.pieces.n_best(segment, self.n)
+            by = sorted(range(len(best)), key=lambda i: [-x for x in best[i][2]])
+            place = {i: p for p, i in enumerate(by)}
+            found = [(best[0][0] - s, place[i], np.array(ids, dtype="<i4").tobytes(), len(ids)) for i, (s, ids, _) in enumerate(best)]
+            self.searched[segment] = found
+        return found
+
     def _merge(self, segments: list[str]) -> list[tuple[float, bytes, int]]:
         if not segments:
             return [(0.0, b"", 0)]
         n, known = self.n, self.known
         parts, scores, counts, losses = zip(*[known[s] for s in segments], strict=True)
         if n == 1:
-            return [(sum(scores), b"".join(parts), sum(counts))]
+            return [(sum(scores) / UNIT, b"".join(parts), sum(counts))]
         if len(losses) > n - 1:
-            near = np.argsort(np.array(losses), kind="stable")[: n - 1].tolist()
+            limit = sorted(losses)[n - 2]
+            near = [i for i, x in enumerate(losses) if x <= limit]
+            if limit == 0:
+                # all of the n best are ties: what leaves its best only in segments before another's comes before it
+                near = near[: n - 1]
         else:
             near = list(range(len(losses)))
-        lists = [[(s, np.array(ids, dtype="<i4").tobytes(), len(ids)) for s, ids in self.pieces.n_best(segments[at], n)] for at in near]
-        combos: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for found in lists:
-            combos = sorted(((loss + found[0][0] - s, (*picks, j)) for loss, picks in combos for j, (s, _, _) in enumerate(found)), key=lambda x: x[0])[:n]
-        base, total, changed, out = sum(scores), sum(counts), list(parts), []
-        for loss, picks in combos:
-            pieces = total
-            for at, found, j in zip(near, lists, picks, strict=True):
-                changed[at] = found[j][1]
-                pieces += found[j][2] - counts[at]
-            out.append((base - loss, b"".join(changed), pieces))
+        # best first, the n best of the segments so far: (loss, rank of each segment that isn't at its best, from the last)
+        now: list[tuple[int, tuple]] = [(0, ())]
+        for at in near:
+            found = self._search(segments[at])
+            grown = sorted((loss + found[j][0], found[j][1], rank, j) for rank, (loss, _) in enumerate(now) for j in range(len(found)))[:n]
+            now = [(loss, ((at, j), now[rank][1]) if j else now[rank][1]) for loss, _, rank, j in grown]
+        base, total, out = sum(scores), sum(counts), []
+        for loss, picks in now:
+            changed, pieces = list(parts), total
+            while picks:
+                (at, j), picks = picks
+                _, _, changed[at], more = self.searched[segments[at]][j]
+                pieces += more - counts[at]
+            out.append(((base - loss) / UNIT, b"".join(changed), pieces))
         return out
 
 

@@ -23,11 +23,66 @@ def every(pieces, text):
             yield 0.0, ()
         for start, score, ids in into[end]:
             for s, x in to(start):
-                yield s + score, x + ids
+                yield s + score / sentence_pieces.UNIT, x + ids
 
     return sorted(to(len(escaped)), key=lambda x: -x[0])
 
 
+def ordered(pieces, text):
+    """All segmentations as (score, ids) in the order that the module promises: by score, then the longer of the last pieces that differ."""
+    escaped = "▁" + text.replace(" ", "▁") if text else ""
+    into, _ = pieces.lattice(escaped)
+
+    def to(end):
+        if end == 0:
+            yield 0, (), ()
+        for start, score, ids in into[end]:
+            for s, x, lengths in to(start):
+                yield s + score, x + ids, (start - end, *lengths)
+
+    return [(s / sentence_pieces.UNIT, x) for s, x, _ in sorted(to(len(escaped)), key=lambda x: (-x[0], x[2]))]
+
+
+#: Nearly every choice in this vocabulary is a tie, inside segments and between them.
+TIES = Pieces([("<unk>", 0.0, False), *((f"<0x{b:02X}>", 0.0, True) for b in range(256)), *((p, -float(len(p)), True) for p in ("a", "b", "%", "▁", "ab", "ba", "aba", "bab", "%%", "%%%", "▁a", "▁%", "aa"))])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab% ", max_size=9), st.integers(1, 7))
+def test_order_of_ties(text, n):
+    assert unpacked(Segmenter(TIES, n).encode(text)) == ordered(TIES, text)[:n]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab é\n", max_size=9), st.integers(1, 6))
+def test_order_of_all(text, n):
+    assert unpacked(Segmenter(SMALL, n).encode(text)) == ordered(SMALL, text)[:n]
+
+
+def test_a_word_has_one_best_segmentation_for_every_n_and_place():
+    for pieces, word in ((PIECES, "ci%%%"), (TIES, "abab%%%")):
+        best = unpacked(Segmenter(pieces, 1).encode(word))[0][1]
+        for n in (1, 2, 3, 5):
+            assert unpacked(Segmenter(pieces, n).encode(word))[0][1] == best
+            again = unpacked(Segmenter(pieces, n).encode(" ".join([word] * 4)))[0][1]
+            assert again == best * 4 or len(best) * 4 == len(again)
+
+
+def test_length_of_a_segment_doesn_t_change_its_segmentations(monkeypatch):
+    texts = ["aba" * 20, "abaab" * 9 + "%%%" * 5, "b" + "ab" * 24, "xé" + "ab" * 22]
+    want = [unpacked(Segmenter(TIES, 3).encode(t)) for t in texts]
+    monkeypatch.setattr(sentence_pieces, "ARRAY_LENGTH", 10**6)
+    assert [unpacked(Segmenter(TIES, 3).encode(t)) for t in texts] == want
+
+
+def test_long_segments_of_ties_take_linear_time():
+    import time
+
+    began = time.time()
+    found = TIES.n_best("ab" * 10000, 3)
+    assert time.time() - began < 20 and len(found) == 3 and len({x[1] for x in found}) == 3
+
+
 def unpacked(found):
     return [(s, tuple(np.frombuffer(x, dtype="<i4").tolist())) for s, x, _ in found]
 
