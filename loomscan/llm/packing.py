@@ -2,8 +2,11 @@
 
 Each document is tokenised, an end token follows it, and whole windows are cut off. The rest of it is placed online: of all
 fill levels that still hold it, into the one that makes the sum of squared counts of partially filled windows smallest. The
-counts are a level array. Every partition packs its own rows, so nothing is shuffled; when a partition ends, its open windows
-fill each other, and the single window then left is cut into windows whose lengths are powers of two, which need no padding.
+counts are a level array. Every partition packs its own rows, so nothing is shuffled. Windows that no document has completed
+when a partition ends can't be completed online: they fill each other (their pieces are marked as settled), and the single
+window then left is cut into windows whose lengths are powers of two, which need no padding. A partition holds the ids of its
+open windows, in two bytes each where they fit; they are fewer than the tokens of one input partition, which
+spark.sql.files.maxPartitionBytes bounds.
 
 Defined results: null text counts as empty (its one token is the end token); repeated rows are packed as often as they come;
 an empty table gives no rows; other columns of the input are ignored; a null id stays null.
@@ -24,8 +27,6 @@ from pyspark.sql import functions as F
 from loomscan.llm.common import lots
 
 CAPACITY = 1024
-#: Open windows that a partition holds at most; beyond it they fill each other early.
-MAX_OPEN = 4096
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -67,11 +68,10 @@ def json_tokenizer(path: str):
 class LevelPacker:
     """Online packing by the sum of squares; pieces are (key, start, ids, doc_tokens), windows lists of pieces."""
 
-    def __init__(self, capacity: int = CAPACITY, max_open: int = MAX_OPEN):
-        self.capacity, self.max_open = capacity, max_open
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity = capacity
         self.levels = np.zeros(capacity + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
-        self.n_open = 0
 
     def choose(self, size: int) -> int:
         """The fill level (0: a new window) whose use gives the least sum of squares; ties go to the fullest."""
@@ -95,31 +95,27 @@ class LevelPacker:
             yield [(key, at, ids[at : at + self.capacity], total)]
         if whole == total:
             return
-        size = total - whole
+        size, rest = total - whole, ids[whole:]
         level = self.choose(size)
         window = self._take(level) if level else []
-        window.append((key, whole, ids[whole:], total))
+        window.append((key, whole, rest.astype(np.uint16 if rest.max() < 1 << 16 else np.uint32), total))
         if level + size == self.capacity:
             yield window
         else:
             self._put(level + size, window)
-            if self.n_open > self.max_open:
-                yield from self.settle()
 
     def _take(self, level: int) -> list:
         self.levels[level] -= 1
-        self.n_open -= 1
         return self.open[level].pop()
 
     def _put(self, level: int, window: list) -> None:
         self.levels[level] += 1
-        self.n_open += 1
         self.open.setdefault(level, []).append(window)
 
     def settle(self) -> Iterator[list]:
         """Open windows fill each other: the emptiest ones are cut to complete the fullest. One window at most stays open."""
         queue = [[level, w] for level in sorted(self.open, reverse=True) for w in self.open[level]]
-        self.open, self.n_open = {}, 0
+        self.open = {}
         self.levels[:] = 0
         low, high = len(queue) - 1, 0
         while high < low:
@@ -163,12 +159,12 @@ class LevelPacker:
                     window.append((key, start, ids, total))
                     have += len(ids)
                 yield window
-        self.open, self.n_open = {}, 0
+        self.open = {}
         self.levels[:] = 0
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
-    """One row per piece: id, start in the document, length, ids (packed little-endian unsigned 32-bit), tokens of the document, sequence, offset in it, tokens of the sequence."""
+    """One row per piece: id, start in the document, length, ids (packed little-endian unsigned 32-bit), tokens of the document, sequence, offset in it, tokens of the sequence, whether the sequence was settled at a partition's end."""
     ranks_path = ranks_path or vocabulary_path()
     json_path = json_path or vocabulary_path("byte_bpe_50k.json")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -182,18 +178,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         rows: list[tuple] = []
 
         def flush():
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            out = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"])
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "settled"])
             rows.clear()
             return out
 
-        def emit(windows):
+        def emit(windows, settled=False):
             nonlocal sequence
             for window in windows:
                 tokens, offset = sum(len(p[2]) for p in window), 0
                 for key, start, ids, total in window:
-                    rows.append((key, start, len(ids), ids.tobytes(), total, sequence, offset, tokens))
+                    rows.append((key, start, len(ids), ids.astype("<u4").tobytes(), total, sequence, offset, tokens, settled))
                     offset += len(ids)
                 sequence += 1
 
@@ -204,7 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 if len(rows) >= 2000:
                     yield flush()
         if id_type is not None:
-            emit(packer.finish())
+            emit(packer.finish(), True)
             yield flush()
 
-    return source.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint")
+    return source.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint, settled boolean")

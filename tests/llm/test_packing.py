@@ -13,9 +13,9 @@ def squares(levels):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=60), st.sampled_from([3, 1000]))
-def test_pieces_cover_documents_and_windows(sizes, max_open):
-    packer, windows = LevelPacker(16, max_open), []
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_pieces_cover_documents_and_windows(sizes):
+    packer, windows = LevelPacker(16), []
     for i, n in enumerate(sizes):
         windows += packer.add(i, np.arange(n, dtype="<u4") + 1000 * i)
     windows += packer.finish()
@@ -51,6 +51,64 @@ def test_level_minimises_squares(counts, size):
     assert after(chosen) == min(map(after, options))
 
 
+def placed(sizes, capacity):
+    """Windows of a partition as lists of (key, start, length): those completed online, and those left open, by trying every level anew for each document."""
+    full, levels, open_windows = [], [0] * capacity, {}
+    for key, total in enumerate(sizes):
+        start = 0
+        while total - start >= capacity:
+            full.append([(key, start, capacity)])
+            start += capacity
+        size = total - start
+        if not size:
+            continue
+        best = None
+        for level in range(capacity - size, -1, -1):  # ties go to the fullest
+            if level and not levels[level]:
+                continue
+            then = list(levels)
+            if level:
+                then[level] -= 1
+            if level + size < capacity:
+                then[level + size] += 1
+            cost = sum(x * x for x in then[1:])
+            if best is None or cost < best[0]:
+                best = (cost, level, then)
+        _, level, levels = best
+        window = [*(open_windows[level].pop() if level else []), (key, start, size)]
+        if level + size == capacity:
+            full.append(window)
+        else:
+            open_windows.setdefault(level + size, []).append(window)
+    return full, [w for ws in open_windows.values() for w in ws]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.lists(st.integers(1, 70), max_size=80), st.lists(st.integers(17, 31), max_size=120), st.lists(st.sampled_from([5, 11, 16, 21]), max_size=120)))
+def test_a_whole_partition_against_brute_force(sizes):
+    packer, online = LevelPacker(32), []
+    for i, n in enumerate(sizes):
+        online += packer.add(i, np.arange(n, dtype="<u4"))
+    shape = lambda ws: [[(key, start, len(ids)) for key, start, ids, _ in w] for w in ws]
+    full, left = placed(sizes, 32)
+    assert shape(online) == full
+    assert sorted(shape(w for ws in packer.open.values() for w in ws)) == sorted(left)
+    settled = list(packer.finish())
+    lengths = sorted(sum(len(p[2]) for p in w) for w in settled)
+    rest = sum(n for w in left for _, _, n in w)
+    assert lengths.count(32) == rest // 32 and sum(lengths) == rest
+    assert [n for n in lengths if n < 32] == [1 << k for k in range(5) if rest % 32 >> k & 1]
+
+
+def test_many_windows_stay_open_until_the_end():
+    """No two of these documents fit one window: all stay open, none is settled early."""
+    packer, rng = LevelPacker(), np.random.default_rng(1)
+    sizes = rng.integers(520, 1001, 20000)
+    assert not any(w for n in sizes.tolist() for w in packer.add(0, np.zeros(n, dtype="<u4")))
+    assert packer.levels.sum() == 20000
+    assert sum(len(p[2]) for w in packer.finish() for p in w) == sizes.sum()
+
+
 def test_ids_are_those_of_the_tokenizer(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tokenizer = packing.json_tokenizer(packing.vocabulary_path("byte_bpe_50k.json"))
