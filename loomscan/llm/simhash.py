@@ -6,9 +6,12 @@ some v that isn't zero solves all of them: in that table the two keep equal bits
 
 Equal fingerprints collapse to one row (with their least id) before the tables are made, so copies never meet in a bucket.
 Buckets of two are decided in the JVM; in larger ones a search that drops what it has linked emits a spanning set of links,
-fewer than the bucket has fingerprints. Components follow by distributed star steps.
+fewer than the bucket has fingerprints. A bucket of more than LARGE fingerprints is dealt anew: they agree on its mask, so a
+second covering family over the other bits, about half of them, again has a table for every pair within the radius. What agrees
+on both differs in no more than 16 bits, so that the search never has more than 2^16 fingerprints in hand, however many rows
+there are. Components follow by distributed star steps.
 
-Defined results: null and empty texts have no shingle and the fingerprint zero, which links like any other; fewer words than
+Defined results: ids are whole numbers; null and empty texts have no shingle and the fingerprint zero, which links like any other; fewer words than
 a shingle has give one shingle of them all; repeated rows share a fingerprint; rows with a null id get a fingerprint, link
 nothing and have a null component; an empty table gives no rows; other columns are ignored.
 """
@@ -30,6 +33,8 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 BITS = 64
+#: A bucket of more fingerprints is dealt over a second covering family.
+LARGE = 4096
 
 
 def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
@@ -53,15 +58,28 @@ def fingerprint(text: bytes | None, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def covering(places: list[int], radius: int = RADIUS) -> list[int]:
+    """Masks over the bits at places, as unsigned numbers: any so many of these bits are all outside one of the masks."""
+    words = (1 << (radius + 1)) - 1
+    codes = {bit: 1 + i * 11 % words for i, bit in enumerate(places)}
+    return [sum(1 << bit for bit, c in codes.items() if (c & v).bit_count() % 2) for v in range(1, words + 1)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """The bit masks of the covering tables, as signed 64-bit numbers."""
-    words = (1 << (radius + 1)) - 1
-    codes = [1 + i * 11 % words for i in range(bits)]
-    found = []
-    for v in range(1, words + 1):
-        m = sum(1 << i for i, c in enumerate(codes) if (c & v).bit_count() % 2)
-        found.append(m - (1 << 64) if m >> 63 else m)
-    return found
+    return [signed(m) for m in covering(list(range(bits)), radius)]
+
+
+def second_masks(radius: int = RADIUS, bits: int = BITS) -> list[tuple[int, int, int]]:
+    """(table, second table, mask as a signed number) over the bits that the table's mask leaves out."""
+    out = []
+    for t, m in enumerate(covering(list(range(bits)), radius)):
+        out += [(t, w, signed(x)) for w, x in enumerate(covering([i for i in range(bits) if not m >> i & 1], radius))]
+    return out
 
 
 def spanning_links(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -101,7 +119,11 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = spread.select("node", "fp", tables.alias("x")).select("node", "fp", "x.t", "x.k")
     buckets = rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("fp").alias("p"), F.max("fp").alias("q")).filter("n > 1")
     two = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius)).select("a", "b")
-    more = rows.join(buckets.filter("n > 2").select("t", "k"), ["t", "k"]).groupBy("t", "k").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+    some = rows.join(buckets.filter(f"n > 2 AND n <= {LARGE}").select("t", "k"), ["t", "k"]).groupBy("t", "k")
+    second = F.broadcast(nodes.sparkSession.createDataFrame(second_masks(radius), "t int, w int, m bigint"))  # 31 times 31 rows
+    parts = rows.join(buckets.filter(f"n > {LARGE}").select("t", "k"), ["t", "k"]).join(second, "t")
+    large = parts.groupBy("t", "k", "w", F.col("fp").bitwiseAND(F.col("m")).alias("k2"))
+    lists = [F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
@@ -113,7 +135,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                     b.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    return two.union(more.select("nodes", "fps").mapInArrow(run, "a bigint, b bigint")).distinct()
+    found = some.agg(*lists).select("nodes", "fps").union(large.agg(*lists).select("nodes", "fps").filter("size(nodes) > 1"))
+    return two.union(found.mapInArrow(run, "a bigint, b bigint")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

@@ -92,3 +92,32 @@ def test_odd_rows(spark):
     kept = simhash.one_of_each(df)
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 7, 11, None], key=str)
     assert kept.columns == df.columns
+
+
+def test_second_tables_cover_what_a_table_leaves_out():
+    rng = random.Random(6)
+    first = [m & (1 << 64) - 1 for m in simhash.masks()]
+    second = {}
+    for t, _, m in simhash.second_masks():
+        second.setdefault(t, []).append(m & (1 << 64) - 1)
+    assert all(m & x == 0 and 64 - (m | x).bit_count() <= 17 for t, x in enumerate(first) for m in second[t])
+    for _ in range(5000):
+        t = rng.randrange(31)
+        free = [b for b in range(64) if not first[t] >> b & 1]
+        diff = sum(1 << b for b in rng.sample(free, rng.randint(1, 4)))
+        assert any(m & diff == 0 for m in second[t])
+
+
+def test_large_buckets_are_dealt_anew(spark, monkeypatch):
+    """Buckets of more than three split: the links connect the same."""
+    rng = random.Random(9)
+    prints = set()
+    for b in [rng.getrandbits(64) for _ in range(3)]:
+        for _ in range(120):
+            prints.add(b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 5))))
+    by = dict(enumerate(sorted(prints)))
+    nodes = spark.createDataFrame([(i, simhash.signed(p)) for i, p in by.items()], "node bigint, fp bigint")
+    monkeypatch.setattr(simhash, "LARGE", 3)
+    found = {r["node"]: r["component"] for r in components(simhash.links(nodes)).collect()}
+    want = slow_components(by)
+    assert {i: found.get(i, i) for i in by} == want
