@@ -20,6 +20,66 @@ def test_held_out_accuracy(spark):
     assert ((good >= 0.3).sum() + (bad < 0.3).sum()) / len(test) > 0.95
 
 
+def slow_counts(text):
+    """(count, of, kind) of each share of a text, and its words, letters in words and lines, character by character."""
+    data = (text or "").encode()
+    words, word = [], b""
+    for i in range(len(data) + 1):
+        c = data[i : i + 1]
+        if c and c not in b" \t\n\x0b\f\r":
+            word += c
+        elif word:
+            words.append(word)
+            word = b""
+    lines = [x for x in data.split(b"\n") if x.strip(b" \t\n\x0b\f\r")]
+    of = lambda chars: (sum(1 for c in data if c in chars), len(data), qc.USUAL_CHARS)
+    n, u = len(words), qc.USUAL_WORDS
+    shares = {"upper": of(range(65, 91)), "digits": of(range(48, 58)), "symbols": of(b"#*$%&|<>=~^_\\{}[]@"), "shouts": of(b"!?"), "marks": of(b".,;:"), "quotes": of(b"\"'()-/+`"), "wide": of(range(128, 256))}
+    shares |= {"distinct": (len(set(words)), n, u), "top_word": (max(map(words.count, set(words)), default=0), n, u), "short_words": (sum(1 for w in words if len(w) < 4), n, u), "ended_words": (sum(1 for w in words if w[-1:] in (b".", b"!", b"?")), n, u), "distinct_lines": (len(set(lines)), len(lines), qc.USUAL_LINES)}
+    return shares, n, sum(map(len, words)), len(lines)
+
+
+def slow_statistics(text):
+    shares, n, letters, lines = slow_counts(text)
+    out = {"words": np.log(1 + n), "word_length": np.log(1 + (letters + 5 * qc.USUAL_WORDS) / (n + qc.USUAL_WORDS)), "line_words": np.log(1 + n / (lines + 1))}
+    out |= {k: np.log((c + qc.USUAL[k] * more) / (of + more) + 0.003) for k, (c, of, more) in shares.items()}
+    return [out[k] for k in qc.NAMES]
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """Every score of the query from counts, means, covariances and densities worked out the plain way."""
+    from loomscan.llm.queries import op3_quality_classifier
+
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    x = np.array([slow_statistics(t) for _, t in texts])
+    out = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in texts])
+    y = np.array([-1 if (q := labels.get(i)) is None else q for i, _ in texts])
+    train = ~out & (y >= 0)
+    z = (x - x[train].mean(axis=0)) / x[train].std(axis=0)
+    odds = []
+    for c in (0, 1):
+        own = z[train & (y == c)]
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - qc.SHRINKAGE) * cov + qc.SHRINKAGE * np.trace(cov) / len(cov) * np.eye(len(cov))
+        d = z - own.mean(axis=0)
+        odds.append(-0.5 * (d @ np.linalg.inv(cov) * d).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(own)))
+    want = {i: (bool(o), 1 / (1 + np.exp(-np.clip(s, -700, 700)))) for (i, _), o, s in zip(texts, out, (odds[1] - odds[0]) / qc.TEMPERATURE, strict=True)}
+    got = op3_quality_classifier(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r["held_out"] == want[r["doc_id"]][0] and abs(r["score"] - want[r["doc_id"]][1]) < 1e-6
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_usual_shares_are_medians_of_training_rows(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()}
+    rows = [texts[r["doc_id"]] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    found = [shares for shares, n, _, _ in map(slow_counts, rows[:1500]) if n >= 50]
+    for k, v in qc.USUAL.items():
+        assert abs(np.median([s[k][0] / s[k][1] for s in found]) - v) < 0.02, k
+
+
 def test_density_is_that_of_a_shrunken_gaussian():
     rng = np.random.default_rng(2)
     x = {0: rng.normal(1, 2, (300, 3)), 1: rng.normal(-1, 1, (500, 3))}
