@@ -38,6 +38,8 @@ MINIMISER_WORDS = 4
 #: Buckets for each shuffle partition, and bytes of strings that a task gathers before it sends them.
 BUCKETS_PER_PARTITION = 8
 GATHER_BYTES = 24 << 20
+#: How hard strings and places are compressed.
+LEVEL = 5
 #: One row in so many is sampled for hot minimisers: those with more than HOT_SHARE of a partition's share of all strings, and at least HOT_LEAST.
 SAMPLE_ROWS = 64
 HOT_LEAST = 20
@@ -215,13 +217,13 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, list]] = {}
         done, gathered = [], 0
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=LEVEL)
 
         def flush() -> pa.RecordBatch:
             by: dict[int, list] = {}
             for content, (bucket, places) in seen.items():
                 by.setdefault(bucket, []).extend((content, place) for place in places)
-            rows = [(b, packer.compress(b"\n".join(x[0] for x in xs)), np.array([x[1] for x in xs], dtype=np.int64).tobytes(), b"") for b, xs in by.items()]
+            rows = [(b, packer.compress(b"\n".join(x[0] for x in xs)), packer.compress(np.array([x[1] for x in xs], dtype=np.int64).T.tobytes()), b"") for b, xs in by.items()]
             if done:
                 parts = merged(*np.array(done, dtype=np.int64).T)
                 rows.append((abs(int(done[0][1])) % n_buckets, b"", b"", np.array([parts.column(i).to_numpy() for i in range(4)]).tobytes()))
@@ -268,10 +270,9 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(done, dtype=np.int64).reshape(4, -1)], schema=_FOUND))
             if packed:
                 contents.append(opener.decompress(packed))
-                places.append(np.frombuffer(place, dtype=np.int64).reshape(-1, 3))
+                places.append(np.frombuffer(opener.decompress(place), dtype=np.int64).reshape(3, -1))
         if contents:
-            where = np.concatenate(places)
-            out.append(repeats(contents, where[:, 0], where[:, 1], where[:, 2], k))
+            out.append(repeats(contents, *np.concatenate(places, axis=1), k))
         return pa.Table.from_batches(out, schema=_FOUND)
 
     return source.mapInArrow(send, sent_schema).groupBy("bucket").applyInArrow(bucket, "key bigint, row bigint, s bigint, e bigint")
