@@ -44,16 +44,51 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert {q: [i for i, _ in v] for q, v in whole.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def block_of(x, centre, seed=3):
+    turn = neighbours.rotation(x.shape[1], seed)
+    return neighbours.Candidates(np.arange(len(x)), x, *neighbours.codes(x - centre, turn), centre), turn
+
+
 def test_estimates_stay_within_bounds():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(2000, 64)) + 0.3
-    centre, turn = x.mean(axis=0), neighbours.rotation(64)
-    packed, length, along = neighbours.codes(x, centre, turn)
-    signs = (np.unpackbits(packed, axis=1, count=64) * 2.0 - 1) / 8
-    q = x[0]
-    estimate = signs @ (q @ turn) * length / along + q @ centre
-    error = 3 * length * np.sqrt(1 - along**2) / along / np.sqrt(63) * np.linalg.norm(q)
-    assert (np.abs(estimate - x @ q) <= error).mean() > 0.99
+    for dim in (3, 64, 100):
+        x = rng.normal(size=(2000, dim)) + 0.3
+        held, turn = block_of(x, x.mean(axis=0))
+        assert np.allclose(turn @ turn.T, np.eye(dim))
+        inside = []
+        for q in x[:20]:
+            estimate, error = held.estimates(q, q @ turn, 3.0)
+            inside.append(np.abs(estimate - x @ q) <= error)
+        assert np.mean(inside) > 0.99
+        assert np.abs(np.mean([held.estimates(q, q @ turn, 3.0)[0] - x @ q for q in x[:200]])) < 0.02 * dim**0.5
+
+
+def test_bounds_prune():
+    """Of unit vectors without any structure, few are reranked."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(neighbours.CANDIDATE_BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    held, turn = block_of(x, x.mean(axis=0))
+    looked = [len(held.search(x[i], x[i] @ turn, i, -np.inf, 20, 3.0)[0]) for i in range(200)]
+    assert np.mean(looked) < 0.1 * len(x)
+
+
+def test_hot_vectors_and_cells(spark, monkeypatch):
+    """A third of all rows share one vector, and cells are small: neighbours are those of brute force, ties by id."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6)) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=6)).astype("<f4").tolist()) for i in range(1200)]
+    rows = [(i, [1.0, 2.0, 0.0, -1.0, 0.5, 3.0] if i % 3 == 0 else v) for i, v in rows]
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
+    monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(neighbours, "TARGET", 1.0)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    got, want = collected(neighbours.nearest(df, bound=6.0)), exact(rows)
+    assert got.keys() == want.keys()
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.97 * sum(map(len, want.values()))
+    assert got[0] == [(i, s) for i, s in want[0]] or all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got[0], want[0], strict=True))
 
 
 def test_odd_rows(spark):
