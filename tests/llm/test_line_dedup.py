@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 from loomscan.llm import line_dedup
 
 
-def slow(rows, min_sites, min_words=1):
+def slow(rows, min_sites, min_words=1, short_sites=None):
     """(id, lines with a word, lines removed, kept text) of (id, site, text) rows."""
     sites, first = {}, {}
     for i, site, text in rows:
         for pos, line in enumerate((text or "").split("\n") if text is not None else []):
             t = line.strip(" \t\n\x0b\f\r")
-            if len(t.split()) >= min_words:
+            if t and (short_sites or len(t.split()) >= min_words):
                 sites.setdefault(t, set()).add(site)
                 first[t] = min(first.get(t, (i, pos)), (i, pos))
-    bad = {t for t, s in sites.items() if len(s - {None}) >= min_sites}
+    bad = {t for t, s in sites.items() if len(s - {None}) >= (min_sites if len(t.split()) >= min_words else short_sites)}
     out = []
     for i, _, text in rows:
         lines = (text or "").split("\n")

@@ -74,3 +74,28 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted((r["doc_id"] for r in near_copies.one_of_each(df).collect()), key=str) == [1, 3, None]
     assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_other_texts_under_an_id_stay(spark):
+    first, second = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, first), (3, second), (3, second), (5, first + " x"), (6, second + " y"), (7, "own words only here in this one")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted((r["doc_id"], r["text"]) for r in near_copies.one_of_each(df).collect()) == sorted([rows[0], rows[1], rows[5]])
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Groups beyond the size for one task, with members that the least one isn't alike to: the components are those of brute force."""
+    monkeypatch.setattr(near_copies, "GROUP", 3)
+    monkeypatch.setattr(near_copies, "GROUP_BLOCK", 2)
+    rows = texts()
+    rng = random.Random(2)
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(12):  # each alike to the next, the ends not to each other
+        chain = list(chain)
+        for at in rng.sample(range(120), 2):
+            chain[at] = f"d{i}{at}"
+        rows.append((2000 + i, " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want, _ = slow(rows)
+    assert len({want[2000 + i] for i in range(12)}) < 12
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == want

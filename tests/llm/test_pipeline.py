@@ -2,12 +2,12 @@ import zlib
 
 import numpy as np
 from test_line_dedup import slow as slow_lines
-from test_simhash import slow_components
+from test_near_copies import slow as slow_copies
 from test_substring_dedup import slow as slow_windows
 
 import corpus_pipeline
-from loomscan.llm import quality_rules, simhash
-from loomscan.llm.line_dedup import MIN_SITES, MIN_WORDS
+from loomscan.llm import quality_rules
+from loomscan.llm.line_dedup import MIN_SITES, MIN_WORDS, SHORT_SITES
 from loomscan.llm.packing import json_tokenizer, vocabulary_path
 
 
@@ -16,10 +16,10 @@ def test_stages_against_brute_force(spark, sf_dir):
     judged = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     now = {i: (r["source"], r["kept_text"]) for i, r in judged.items() if r["kept"]}
     counts = [len(now)]
-    kept = slow_lines([(i, s, t) for i, (s, t) in now.items()], MIN_SITES, MIN_WORDS)
+    kept = slow_lines([(i, s, t) for i, (s, t) in now.items()], MIN_SITES, MIN_WORDS, SHORT_SITES)
     now = {i: (now[i][0], t) for i, _, _, t in kept if t.strip()}
     counts.append(len(now))
-    heads = slow_components({i: simhash.fingerprint(t.encode()) for i, (_, t) in now.items()})
+    heads, _ = slow_copies([(i, t) for i, (_, t) in now.items()])
     now = {i: x for i, x in now.items() if heads[i] == i}
     counts.append(len(now))
     kept = slow_windows([(i, t) for i, (_, t) in now.items()], 20)
@@ -46,6 +46,27 @@ def test_stages_against_brute_force(spark, sf_dir):
         assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in pieces[i])
 
 
+def test_rows_that_share_an_id(spark):
+    """Two texts under one id are two documents: neither loses by what the other shares with the rest."""
+    own = lambda c: "\n".join(" ".join(f"{c}{i}x{j}" for j in range(12)) + "." for i in range(12))
+    copied, unique = own("Alpha"), own("Beta")
+    rows = [(1, copied, "en", "a", 0), (3, copied, "en", "b", 0), (3, unique, "en", "b", 0), (3, unique, "en", "b", 0), (4, copied + "\nOne more line.", "en", "c", 0)]
+    now = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "").cache()
+        assert (3, unique) in {(r["doc_id"], r["text"]) for r in now.collect()}, name
+    assert sorted((r["doc_id"], r["text"]) for r in now.collect()) == [(1, copied), (3, unique)]
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"Sentence number {i} of a very long text, word{i * 7919 % 100003} and word{i * 104729 % 99991}." for i in range(20000))
+    rows = [(1, long, "en", "a", 0), (2, long + "\nand an end.", "en", "b", 0)]
+    now = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "").cache()
+    assert [(r["doc_id"], r["text"]) for r in now.collect()] == [(1, long)]
+
+
 def test_odd_rows(spark):
     text = " ".join(f"Alpha{i} beta{i} gamma{i}." for i in range(30))
     rows = [(1, text, "en", "a", 1, 0), (1, text, "en", "a", 1, 0), (2, text, None, None, None, 0), (3, None, "en", "a", 0, 0), (4, "", "en", "a", 0, 0)]

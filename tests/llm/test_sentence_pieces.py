@@ -144,3 +144,6 @@ def test_odd_rows(spark):
     assert all(r["decoded"] == "x" * 30000 for r in got if r["doc_id"] == 2)
     assert [r["decoded"] for r in got if r["doc_id"] is None][0] == "a"
     assert sentence_pieces.encode(df.limit(0)).count() == 0
+    once = sentence_pieces.encode(df, decoded=True)
+    assert once.columns == sentence_pieces.decode(sentence_pieces.encode(df)).columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, got))
