@@ -55,7 +55,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best segmentations of each document, with a digest of what they decode to."""
-    found = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents")))
+    found = sentence_pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return found.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
 
 

@@ -36,9 +36,9 @@ from loomscan.llm.common import lots
 
 N_BEST = 3
 SPACE = "▁"
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Characters of texts encoded together, segments solved together, and the longest segment that is solved so.
-CHARS = 2_000_000
+CHARS = 1_000_000
 ARRAY_ROWS = 2048
 ARRAY_LENGTH = 40
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -376,8 +376,8 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
-    """(doc_id, rank, score, n_pieces, ids binary: little-endian 32-bit) of the n best segmentations of each row."""
+def encode(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, rank, score, n_pieces, ids binary: little-endian 32-bit) of the n best segmentations of each row; decoded: and what decode() makes of the ids, in the same pass."""
     path = model_path or vocabulary_path()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -392,13 +392,13 @@ def encode(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: s
                     size += len(texts[hi] or "")
                     hi += 1
                 rows = [(i, rank, *x) for i, found in enumerate(segmenter.encode_all(texts[lo:hi]), lo) for rank, x in enumerate(found, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array([r[0] for r in rows], type=pa.int64())), pa.array([r[1] for r in rows], type=pa.int32()), pa.array([r[2] for r in rows], type=pa.float64()), pa.array([r[4] for r in rows], type=pa.int64()), pa.array([r[3] for r in rows], type=pa.binary())],
-                    names=["doc_id", "rank", "score", "n_pieces", "ids"],
-                )
+                columns = {"doc_id": batch.column("doc_id").take(pa.array([r[0] for r in rows], type=pa.int64())), "rank": pa.array([r[1] for r in rows], type=pa.int32()), "score": pa.array([r[2] for r in rows], type=pa.float64()), "n_pieces": pa.array([r[4] for r in rows], type=pa.int64()), "ids": pa.array([r[3] for r in rows], type=pa.binary())}
+                if decoded:
+                    columns["decoded"] = pa.array([segmenter.pieces.decode(np.frombuffer(r[3], dtype="<i4")) for r in rows], type=pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
                 lo = hi
 
-    return source.mapInArrow(run, f"doc_id {kind}, rank int, score double, n_pieces bigint, ids binary")
+    return source.mapInArrow(run, f"doc_id {kind}, rank int, score double, n_pieces bigint, ids binary{', decoded string' * decoded}")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
