@@ -59,13 +59,18 @@ def _two_decimals(n: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """A size in powers of 1000 with two decimals; the whole number of each power is cut before the next."""
+    """A size in powers of 1000 with two decimals; the whole number of each power is cut before the next.
+
+    The unit is picked first and one number is formatted, inside a lambda that names it once, so that expressions stay small.
+    """
     value = n.cast("bigint")
-    found = F.concat(value.cast("string"), F.lit(".00 B"))
-    for u in UNITS[1:]:
-        found = F.when(div(value, 1000) > 0, F.concat(_two_decimals(value), F.lit(f" {u}"))).otherwise(found)
-        value = div(value, 1000)
-    return found
+    steps = [(F.lit(1000**i).cast("bigint"), u) for i, u in enumerate(UNITS)]
+    # the value in thousandths of its unit: cut at the power below the unit
+    found = F.struct(value.alias("n"), F.lit("B").alias("unit"))
+    for (power, u), (below, _) in zip(steps[1:], steps, strict=False):
+        found = F.when(value >= power, F.struct(div(value, below).alias("n"), F.lit(u).alias("unit"))).otherwise(found)
+    text = lambda x: F.when(x["unit"] == "B", F.concat(x["n"].cast("string"), F.lit(".00 B"))).otherwise(F.concat(_two_decimals(x["n"]), F.lit(" "), x["unit"]))
+    return F.transform(F.array(found), text)[0]
 
 
 def block_bytes(wanted: Column, kind: str = "file") -> Column:

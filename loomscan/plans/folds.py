@@ -13,27 +13,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomscan.sources.options import Options
 
-def ordered_pass(rows: DataFrame, order: list, inputs: list[str], step: Callable[[], Callable[..., tuple]], outputs: dict[str, str]) -> DataFrame:
-    """rows with new bigint columns: step() makes a function with a state of its own, called with the inputs of each row in order."""
+
+def ordered_pass(rows: DataFrame, order: list, inputs: list[str], step: Callable[[], Callable[..., tuple]], outputs: dict[str, str], by: str | None = None) -> DataFrame:
+    """rows with new bigint columns: step() makes a function with a state of its own, called with the inputs of each row in order.
+
+    With by, each of its values has a state and an order of its own, and they are passed side by side.
+    """
     names = rows.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = step()
+        apply, at = step(), None
         for batch in batches:
-            found = [apply(*x) for x in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)]
+            found = []
+            for key, *x in zip(batch.column(by).to_pylist() if by else [None] * batch.num_rows, *(batch.column(c).to_pylist() for c in inputs), strict=True):
+                if key != at:
+                    apply, at = step(), key
+                found.append(apply(*x))
             new = list(zip(*found, strict=True)) or [()] * len(outputs)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, type=pa.int64()) for c in new)], names=[*names, *outputs])
 
-    return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, kinds + "".join(f", {n} {t}" for n, t in outputs.items()))
+    dealt = rows.repartition(by).sortWithinPartitions(by, *order) if by else rows.repartition(1).sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, kinds + "".join(f", {n} {t}" for n, t in outputs.items()))
 
 
-def pack_requests(manifest: DataFrame, limit: int) -> DataFrame:
+def pack_requests(manifest: DataFrame, limit: int | None = None) -> DataFrame:
     """Next fit: chunks in order (file, chunk) go to one request until the next would exceed the limit. Adds request_id, request_offset.
 
-    A limit below the largest chunk is an error. Chunks of no bytes stay in the request that is open when they come.
+    Without a limit that of the settings counts. A limit below the largest chunk is an error. Chunks of no bytes stay in the
+    request that is open when they come.
     """
+    if limit is None:
+        sums = manifest.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+        limit = max(Options.read().request_limit(int(sums[0]), int(sums[1])), 1)
 
     def step():
         request, used = 0, 0
@@ -87,8 +101,9 @@ def partition_files(totals: DataFrame, n: int) -> DataFrame:
     return lightest_bin(totals, n, ["file_id"], "total_bytes")
 
 
-def partition(manifest: DataFrame, totals: DataFrame, n: int, policy: str = "chunks") -> DataFrame:
-    """Chunk rows with part, by either policy."""
+def partition(manifest: DataFrame, totals: DataFrame, n: int, policy: str | None = None) -> DataFrame:
+    """Chunk rows with part, by either policy; without one by that of the settings."""
+    policy = Options.read().partition_policy if policy is None else policy
     if policy not in ("chunks", "files"):
         raise ValueError(f"unknown partition policy {policy!r}")
     if policy == "chunks":
@@ -105,11 +120,15 @@ def coalesce_ranges(parts: DataFrame) -> DataFrame:
     return runs.withColumn("run_idx", (F.row_number().over(inside) - 1).cast("bigint"))
 
 
-def aligned_batches(rows: DataFrame, order: list[str], batch_bytes: int, max_chunks: int = 256, alignment: int = 512) -> DataFrame:
-    """Chunks in order fill batches of at most max_chunks and batch_bytes, each at an aligned place. Adds batch_id, batch_offset.
+def aligned_batches(rows: DataFrame, order: list[str], batch_bytes: int | None = None, max_chunks: int = 256, alignment: int | None = None) -> DataFrame:
+    """Each part's chunks, in order, fill batches of at most max_chunks and batch_bytes, each at an aligned place. Adds batch_id, which counts from 0 in each part, and batch_offset.
 
-    A chunk larger than batch_bytes has a batch of its own.
+    A part fills its batches from its own chunks alone, so parts are passed side by side; rows without part are one. Sizes that aren't given are those of
+    the settings. A chunk larger than batch_bytes has a batch of its own.
     """
+    settings = Options.read()
+    batch_bytes = settings.batch_bytes if batch_bytes is None else batch_bytes
+    alignment = settings.alignment if alignment is None else alignment
     if not 0 <= alignment <= 1 << 20:
         raise ValueError("alignment must be from 0 to 1 MiB")
 
@@ -126,4 +145,19 @@ def aligned_batches(rows: DataFrame, order: list[str], batch_bytes: int, max_chu
 
         return put
 
-    return ordered_pass(rows, order, ["size"], step, {"batch_id": "bigint", "batch_offset": "bigint"})
+    return ordered_pass(rows, order, ["size"], step, {"batch_id": "bigint", "batch_offset": "bigint"}, by="part" if "part" in rows.columns else None)
+
+
+def broadcast_schedule(batches: DataFrame, n: int, expected: int | None = None) -> DataFrame:
+    """Every chunk of every batch once for each of n ranks that gets it: in round batch_id the parts send their batches one after the other, and each rank receives all of them.
+
+    With expected, the number of chunks there are, batches that hold fewer are an error.
+    """
+    rows = batches
+    if expected is not None:
+        held = batches.count()
+        if held < expected:
+            raise RuntimeError(f"No chunks to read: {expected - held} of {expected} are in no batch")
+    turn = Window.partitionBy("part", "batch_id").orderBy("batch_offset", "file_id", "chunk_idx")
+    placed = rows.withColumn("turn", (F.row_number().over(turn) - 1).cast("bigint"))
+    return placed.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("rank"))

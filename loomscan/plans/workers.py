@@ -47,9 +47,11 @@ def assign(ranges: DataFrame, quota: DataFrame) -> DataFrame:
     return cut.select(*ranges.columns, "worker", "task_start", (F.col("__end") - F.col("task_start")).alias("task_size"))
 
 
-def completion(tasks: DataFrame, status: Column) -> DataFrame:
-    """A chunk is complete when all its tasks are; its status is the largest of theirs."""
-    return tasks.groupBy("file_id", "chunk_idx").agg(F.count("*").alias("n_tasks"), F.sum("task_size").alias("n_bytes"), F.max(status).cast("int").alias("status"))
+def completion(tasks: DataFrame, status: Column, order: list | None = None) -> DataFrame:
+    """A chunk is complete when all its tasks are; its status is that of the last of them that failed, by order (by worker, then place), else 0."""
+    by = F.struct(*(order or ["worker", "task_start"]))
+    failed = F.when(status != 0, F.struct(by.alias("at"), status.cast("int").alias("status")))
+    return tasks.groupBy("file_id", "chunk_idx").agg(F.count("*").alias("n_tasks"), F.sum("task_size").alias("n_bytes"), F.coalesce(F.max(failed)["status"], F.lit(0)).alias("status"))
 
 
 def batch_ranges(tasks: DataFrame) -> DataFrame:

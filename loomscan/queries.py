@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +18,11 @@ from loomscan.functions.dtypes import DTYPES
 from loomscan.operators import scan, validate
 from loomscan.plans import folds, manifest, workers
 from loomscan.sources.decode import decode
-from loomscan.sources.files import TensorFileError, remapped
-from loomscan.sources.headers import read_header
+from loomscan.sources.files import OpenFile, TensorFileError, file_system, remapped
+from loomscan.sources.headers import header_of
 from loomscan.sources.materialize import Materialized, pull_files
 from loomscan.sources.shared import fresh_dir
+from loomscan.sources.tensorfile import expand
 from loomscan.sources.writer import float_bytes, write_raw_files, write_tensor_files
 
 #: Production parameters of the planning queries, of a size that cuts these tables often.
@@ -103,9 +105,19 @@ def nonempty_units(spark, sf_dir):
     return rows.groupBy("file_id").agg(F.count("*").alias("n_units"), F.sum("size").alias("n_bytes"), F.min("offset").alias("first_offset"), F.max(F.col("offset") + F.col("size")).alias("end_offset"))
 
 
-@query(f"WITH {_M} SELECT file_id, chunk_idx, CAST(0 AS INTEGER) AS status FROM m")
+_REQUESTS = f"""{_M}, q AS (SELECT page_id % 40 + 1000 AS file_id, page_id % 5 AS kind, page_id FROM pages),
+w AS (SELECT file_id, chunk_idx, size FROM m UNION ALL SELECT file_id, CASE WHEN kind > 0 THEN page_id END, CASE kind WHEN 1 THEN 0 WHEN 2 THEN -page_id - 1 WHEN 3 THEN page_id WHEN 4 THEN page_id % 2 END FROM q),
+v AS (SELECT file_id, coalesce(sum(size), 0) AS bytes, count(size) AS n, min(size) AS least FROM w GROUP BY file_id)"""
+
+
+@query(f"WITH {_REQUESTS} SELECT w.file_id, w.chunk_idx, CAST(CASE WHEN bytes = 0 AND n = 0 THEN 8 WHEN bytes <= 0 OR n = 0 OR least < 0 THEN 7 ELSE 0 END AS INTEGER) AS status FROM w JOIN v ON w.file_id = v.file_id")
 def request_validation(spark, sf_dir):
-    return scan.check_chunks(base_manifest(spark, sf_dir)).select("file_id", "chunk_idx", "status")
+    """Requests of documents, and invented ones: without chunks, without bytes, with negative sizes, and sound."""
+    good = base_manifest(spark, sf_dir).select("file_id", "chunk_idx", "size")
+    page, kind = F.col("page_id"), F.col("page_id") % 5
+    size = F.when(kind == 1, F.lit(0)).when(kind == 2, -page - 1).when(kind == 3, page).when(kind == 4, page % 2)
+    made = _table(spark, sf_dir, "pages").select((page % 40 + 1000).alias("file_id"), F.when(kind > 0, page).alias("chunk_idx"), size.alias("size"))
+    return scan.check_chunks(good.unionByName(made)).select("file_id", "chunk_idx", "status")
 
 
 # ---- raw ranges
@@ -220,25 +232,43 @@ def partition_conservation(spark, sf_dir):
 
 
 _BATCHES = f"""{_BY_CHUNKS}, q AS (SELECT *, row_number() OVER (ORDER BY part, file_id, chunk_idx) AS n FROM a),
-z(n, part, file_id, chunk_idx, size, batch_id, batch_offset, used, cnt) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
-SELECT n, part, file_id, chunk_idx, size, CASE WHEN fresh THEN batch_id + 1 ELSE batch_id END, CASE WHEN fresh THEN 0 ELSE at_ END, CASE WHEN fresh THEN 0 ELSE at_ END + size, CASE WHEN fresh THEN 1 ELSE cnt + 1 END FROM (
-SELECT q.n, q.part, q.file_id, q.chunk_idx, q.size, z.batch_id, z.cnt, CAST(ceil(z.used / {ALIGNMENT}.0) * {ALIGNMENT} AS BIGINT) AS at_, z.cnt > 0 AND (z.cnt >= {BATCH_CHUNKS} OR ceil(z.used / {ALIGNMENT}.0) * {ALIGNMENT} + q.size > {BATCH_BYTES}) AS fresh FROM z JOIN q ON q.n = z.n + 1))"""
+z(n, part, file_id, chunk_idx, size, batch_id, batch_offset, used, cnt) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
+SELECT n, part, file_id, chunk_idx, size, CASE WHEN other THEN 0 WHEN fresh THEN batch_id + 1 ELSE batch_id END, CASE WHEN fresh THEN 0 ELSE at_ END, CASE WHEN fresh THEN 0 ELSE at_ END + size, CASE WHEN fresh THEN 1 ELSE cnt + 1 END FROM (
+SELECT q.n, q.part, q.file_id, q.chunk_idx, q.size, z.batch_id, z.cnt, q.part <> z.part AS other, CAST(ceil(z.used / {ALIGNMENT}.0) * {ALIGNMENT} AS BIGINT) AS at_, q.part <> z.part OR z.cnt > 0 AND (z.cnt >= {BATCH_CHUNKS} OR ceil(z.used / {ALIGNMENT}.0) * {ALIGNMENT} + q.size > {BATCH_BYTES}) AS fresh FROM z JOIN q ON q.n = z.n + 1))"""
 
 
 def _batches(spark, sf_dir):
-    return folds.aligned_batches(_by_chunks(spark, sf_dir), ["part", "file_id", "chunk_idx"], BATCH_BYTES, BATCH_CHUNKS, ALIGNMENT)
+    return folds.aligned_batches(_by_chunks(spark, sf_dir), ["file_id", "chunk_idx"], BATCH_BYTES, BATCH_CHUNKS, ALIGNMENT)
 
 
 @query(f"WITH RECURSIVE {_BATCHES} SELECT part, file_id, chunk_idx, size, batch_id, batch_offset FROM z WHERE n > 0")
 def aligned_batches(spark, sf_dir):
+    """Each part fills batches from its own chunks."""
     return _batches(spark, sf_dir).select("part", "file_id", "chunk_idx", "size", "batch_id", "batch_offset")
 
 
-@query(f"WITH RECURSIVE {_BATCHES} SELECT batch_id, rank, count(*) AS n_chunks, CAST(sum(size) AS BIGINT) AS n_bytes FROM z, (SELECT unnest(range({PARTS})) AS rank) WHERE n > 0 GROUP BY batch_id, rank")
+@query(f"WITH RECURSIVE {_BATCHES} SELECT batch_id, part, rank, file_id, chunk_idx, size, CAST(row_number() OVER (PARTITION BY part, batch_id, rank ORDER BY batch_offset, file_id, chunk_idx) - 1 AS BIGINT) AS turn FROM z, (SELECT unnest(range({PARTS})) AS rank) WHERE n > 0")
 def broadcast_schedule(spark, sf_dir):
-    """Every rank gets every batch: batches are summed first, and then repeated for each of the few ranks."""
-    sums = _batches(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("n_chunks"), F.sum("size").alias("n_bytes"))
-    return sums.select("batch_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("rank"), "n_chunks", "n_bytes")
+    """Every chunk for every rank: in round batch_id each part sends its batch, and all ranks receive it."""
+    expected = base_manifest(spark, sf_dir).filter("size > 0").count()
+    return folds.broadcast_schedule(_batches(spark, sf_dir), PARTS, expected).select("batch_id", "part", "rank", "file_id", "chunk_idx", "size", "turn")
+
+
+@query(f"WITH RECURSIVE {_BY_CHUNKS} SELECT part, file_id, chunk_idx, size, md5(text) AS digest FROM a")
+def partitioned_scan(spark, sf_dir):
+    """Chunks dealt over parts, and each part's bytes read by one task in order of place."""
+    roots = _raw_files(spark, sf_dir)
+    rows = manifest.chunk_offsets(base_manifest(spark, sf_dir))
+    return scan.read_partitioned(rows, PARTS, "chunks", roots).select("part", "file_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "size", F.md5("data").alias("digest"))
+
+
+@query(f"WITH RECURSIVE {_PACK} SELECT CAST(request_id AS BIGINT) AS round, r.file_id, r.chunk_idx, md5(m.text) AS digest FROM r JOIN m ON r.file_id = m.file_id AND r.chunk_idx = m.chunk_idx WHERE rn > 0")
+def capped_rounds(spark, sf_dir):
+    """Chunks read in rounds of bounded bytes, with the round that each comes in."""
+    roots = _raw_files(spark, sf_dir)
+    packed = folds.pack_requests(manifest.chunk_offsets(base_manifest(spark, sf_dir)).drop("doc_id"), REQUEST_LIMIT)
+    read = scan.read_chunks(packed, roots).select("file_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.md5("data").alias("digest"))
+    return packed.select(F.col("request_id").alias("round"), "file_id", "chunk_idx").join(read, ["file_id", "chunk_idx"])
 
 
 # ---- workers
@@ -275,10 +305,11 @@ def chunk_tasks(spark, sf_dir):
     return _tasks(spark, sf_dir).select("file_id", "chunk_idx", "worker", "task_start", "task_size")
 
 
-@query(f"WITH {_W} SELECT file_id, chunk_idx, count(*) AS n_tasks, CAST(sum(task_size) AS BIGINT) AS n_bytes, CAST(max(CASE WHEN worker % 7 = 3 THEN 2 ELSE 0 END) AS INTEGER) AS status FROM tasks GROUP BY file_id, chunk_idx")
+@query(f"WITH {_W} SELECT file_id, chunk_idx, count(*) AS n_tasks, CAST(sum(task_size) AS BIGINT) AS n_bytes, CAST(coalesce(max_by(CASE worker % 4 WHEN 1 THEN 3 WHEN 2 THEN 2 END, worker) FILTER (WHERE worker % 4 IN (1, 2)), 0) AS INTEGER) AS status FROM tasks GROUP BY file_id, chunk_idx")
 def request_completion(spark, sf_dir):
-    """Completion of chunks where every seventh worker fails to read its files."""
-    return workers.completion(_tasks(spark, sf_dir), F.when(F.col("worker") % 7 == 3, 2).otherwise(0))
+    """Completion of chunks where some workers find a file's end and others can't read theirs: the last error stays."""
+    kind = F.col("worker") % 4
+    return workers.completion(_tasks(spark, sf_dir), F.when(kind == 1, 3).when(kind == 2, 2).otherwise(0))
 
 
 @query(f"WITH {_W} SELECT worker, file_id, count(*) AS n_tasks, min(task_start) AS range_start, max(task_start + task_size) AS range_end FROM tasks GROUP BY worker, file_id")
@@ -443,6 +474,12 @@ def embedding_files(spark, sf_dir) -> str:
 _E = "e AS (SELECT vec_id, embedding, label, 'vec_' || vec_id AS name, dense_rank() OVER (ORDER BY label) - 1 AS file_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS tensor_idx, CAST(len(embedding) AS BIGINT) AS n FROM embeddings)"
 
 
+def _weighted(rows: DataFrame, *names: str) -> DataFrame:
+    values = decode(rows.withColumn("n_bytes", F.length("data").cast("bigint")), "F32")
+    sums = F.aggregate(F.transform("values", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return values.select(*names, "n_bytes", F.round(sums, 6).alias("weighted"))
+
+
 @query(f'WITH {_E} SELECT file_id, tensor_idx, name, \'F32\' AS dtype, n AS n_elements, CAST(coalesce(sum(4 * n) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, 4 * n AS n_bytes FROM e')
 def tensor_catalog(spark, sf_dir):
     rows = scan.tensor_catalog(spark, embedding_files(spark, sf_dir))
@@ -458,9 +495,10 @@ def header_roundtrip(spark, sf_dir):
     return files.join(first, "file_id").select("file_id", "n_tensors", (F.col("n") + 8 == F.col("base")).alias("first_bytes_agree"))
 
 
-@query(f"WITH {_E}, b AS (SELECT name, n, list_transform(embedding, lambda x: x) AS v FROM e) SELECT name, 4 * n AS n_bytes FROM b")
+@query(f"WITH {_E} SELECT name, 4 * n AS n_bytes, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 6) AS weighted FROM e")
 def tensor_bytes(spark, sf_dir):
-    return scan.tensors(spark, embedding_files(spark, sf_dir)).select("name", F.length("data").cast("bigint").alias("n_bytes"))
+    """Payload of every tensor, with a sum that depends on each value and its place."""
+    return _weighted(scan.tensors(spark, embedding_files(spark, sf_dir)), "name")
 
 
 @query("SELECT label, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norms FROM embeddings GROUP BY label")
@@ -482,22 +520,18 @@ def tensor_name_filter(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT file_id, count(*) AS n_tensors, CAST(sum(4 * n) AS BIGINT) AS n_bytes FROM e GROUP BY file_id")
 def multi_file_union(spark, sf_dir):
-    """Files read one by one and put together are what reading them all gives."""
+    """Files given one by one are read as one scan, in their order."""
     folder = embedding_files(spark, sf_dir)
-    files = [r["path"] for r in scan.tensor_catalog(spark, folder).select("path").distinct().orderBy("path").collect()]
-    union = None
-    for i, path in enumerate(files):
-        one = scan.tensors(spark, path).select(F.lit(i).cast("bigint").alias("file_id"), F.length("data").alias("n"))
-        union = one if union is None else union.unionByName(one)
-    return union.groupBy("file_id").agg(F.count("*").alias("n_tensors"), F.sum("n").cast("bigint").alias("n_bytes"))
+    rows = scan.tensors(spark, [f.path for f in expand([folder])])
+    return rows.groupBy("file_id").agg(F.count("*").alias("n_tensors"), F.sum(F.length("data")).cast("bigint").alias("n_bytes"))
 
 
-@query(f"WITH {_E} SELECT file_id, tensor_idx, name, 4 * n AS n_bytes FROM e")
+@query(f"WITH {_E} SELECT file_id, tensor_idx, name, 4 * n AS n_bytes, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 6) AS weighted FROM e")
 def chunk_metadata_join(spark, sf_dir):
     """Payload read as plain chunks and joined with the catalog."""
     catalog = scan.tensor_catalog(spark, embedding_files(spark, sf_dir))
     rows = catalog.select("file_id", "path", F.col("tensor_idx").alias("chunk_idx"), (F.col("data_base") + F.col("start")).alias("offset"), (F.col("end") - F.col("start")).alias("size"))
-    return scan.with_metadata(scan.read_chunks(rows), catalog).select("file_id", "tensor_idx", "name", F.length("data").cast("bigint").alias("n_bytes"))
+    return _weighted(scan.with_metadata(scan.read_chunks(rows), catalog), "file_id", "tensor_idx", "name")
 
 
 # ---- checks of headers
@@ -512,23 +546,30 @@ _ENTRY_SQL = "h(file, name, dtype, shape, s, e) AS (VALUES " + ", ".join(f"('{f}
 _WIDTHS = "w(dtype, width) AS (VALUES " + ", ".join(f"('{x.name}', {x.width})" for x in DTYPES.values()) + ")"
 
 
-def _entries(spark):
-    return spark.createDataFrame(ENTRIES, "file string, name string, dtype string, shape array<bigint>, start bigint, end bigint")
+_CATALOG_SQL = f"""{_ENTRY_SQL}, {_WIDTHS}, {_E}, k AS (SELECT * FROM h UNION ALL SELECT 'label-' || lpad(CAST(label AS VARCHAR), 5, '0'), name, 'F32', [n], before, before + 4 * n
+FROM (SELECT *, CAST(coalesce(sum(4 * n) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM e))"""
+
 
+def _entries(spark, sf_dir):
+    """The invented entries and the whole catalog of files written from embeddings."""
+    made = spark.createDataFrame(ENTRIES, "file string, name string, dtype string, shape array<bigint>, start bigint, end bigint")
+    read = scan.tensor_catalog(spark, embedding_files(spark, sf_dir))
+    return made.unionByName(read.select(F.regexp_extract("path", "(label-[0-9]+)", 1).alias("file"), "name", "dtype", "shape", "start", "end"))
 
-@query(f"WITH {_ENTRY_SQL}, b AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY file ORDER BY s, e, name), 0) AS before FROM h) SELECT file, name, CASE WHEN s < before THEN 'overlap' WHEN s > before THEN 'gap' ELSE 'ok' END AS verdict FROM b")
+
+@query(f"WITH {_CATALOG_SQL}, b AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY file ORDER BY s, e, name), 0) AS before FROM k) SELECT file, name, CASE WHEN s < before THEN 'overlap' WHEN s > before THEN 'gap' ELSE 'ok' END AS verdict FROM b")
 def validate_overlap_gap(spark, sf_dir):
-    return validate.overlap_gap(_entries(spark))
+    return validate.overlap_gap(_entries(spark, sf_dir))
 
 
-@query(f"WITH {_ENTRY_SQL}, {_WIDTHS} SELECT file, name, CAST(coalesce(list_product(shape), 1) * width AS BIGINT) AS claimed, e - s AS reserved, CASE WHEN s > e THEN 'corrupt offset' WHEN coalesce(list_product(shape), 1) * width <> e - s THEN 'mismatch' ELSE 'ok' END AS verdict FROM h JOIN w ON h.dtype = w.dtype")
+@query(f"WITH {_CATALOG_SQL} SELECT file, name, CAST(coalesce(list_product(shape), 1) * width AS BIGINT) AS claimed, e - s AS reserved, CASE WHEN s > e THEN 'corrupt offset' WHEN coalesce(list_product(shape), 1) * width <> e - s THEN 'mismatch' ELSE 'ok' END AS verdict FROM k JOIN w ON k.dtype = w.dtype")
 def validate_shape(spark, sf_dir):
-    return validate.shapes(_entries(spark))
+    return validate.shapes(_entries(spark, sf_dir))
 
 
-@query(f"WITH {_ENTRY_SQL}, {_WIDTHS} SELECT file, name, dtype FROM h WHERE dtype NOT IN (SELECT dtype FROM w)")
+@query(f"WITH {_CATALOG_SQL} SELECT file, name, dtype FROM k WHERE dtype NOT IN (SELECT dtype FROM w)")
 def validate_dtype(spark, sf_dir):
-    return validate.unknown_types(_entries(spark))
+    return validate.unknown_types(_entries(spark, sf_dir))
 
 
 def corrupt_files() -> dict[str, bytes]:
@@ -561,19 +602,38 @@ def corrupt_files() -> dict[str, bytes]:
     }
 
 
-@query()
+# What reading each of these headers must give.
+CORRUPT = [
+    ("bad_dtype", None, "Unsupported dtype"), ("bad_json", None, "not valid JSON"), ("bad_utf8", None, "not valid UTF-8"), ("duplicate_keys", 1, None), ("empty_file", None, "truncated or empty"), ("empty_header", 0, None),
+    ("first_not_zero", None, "gap"), ("holes", None, "gap"), ("mismatch", None, "Shape claims 40 bytes, but offsets reserve 4"), ("no_offsets", None, "missing data_offsets"), ("only_metadata", 0, None), ("overlap", None, "overlaps with next tensor"),
+    ("too_large", None, "exceeds limit"), ("trailing_bytes", 1, None), ("truncated_body", 1, None), ("truncated_header", None, "End of file"), ("unsorted", 2, None),
+]
+_PROBLEMS = "|".join(dict.fromkeys(p for _, _, p in CORRUPT if p))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{f}', CAST({'NULL' if n is None else n} AS INTEGER), {'NULL' if p is None else repr(p)})" for f, n, p in CORRUPT) + ") AS t(file, n_tensors, problem)")
 def validate_corrupt_files(spark, sf_dir):
-    """What reading the header of each of these files gives."""
-    rows = []
-    with tempfile.TemporaryDirectory(prefix="loomscan-corrupt-") as folder:
-        for name, data in corrupt_files().items():
-            path = Path(folder, f"{name}.safetensors")
-            path.write_bytes(data)
-            try:
-                rows.append((name, len(read_header(str(path))), None))
-            except TensorFileError as e:
-                rows.append((name, None, str(e).replace(folder + "/", "")))
-    return spark.createDataFrame(rows, "file string, n_tensors int, error string")
+    """What tasks find that read the header of each of these files."""
+    folder = fresh_dir(spark, "corrupt")
+    system, place = file_system(folder)
+    system.create_dir(place, recursive=True)
+    for name, data in corrupt_files().items():
+        with system.open_output_stream(f"{place}/{name}.safetensors") as out:
+            out.write(data)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name in batch.column("file").to_pylist():
+                try:
+                    with OpenFile(f"{folder}/{name}.safetensors") as f:
+                        rows.append((name, len(header_of(f)), None))
+                except TensorFileError as e:
+                    rows.append((name, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], names=["file", "n_tensors", "error"])
+
+    found = spark.createDataFrame([(n,) for n in corrupt_files()], "file string").mapInArrow(run, "file string, n_tensors int, error string")
+    return found.select("file", "n_tensors", F.nullif(F.regexp_extract("error", f"({_PROBLEMS})", 1), F.lit("")).alias("problem"))
 
 
 def typed_file(spark) -> str:
@@ -601,7 +661,7 @@ def decode_all_dtypes(spark, sf_dir):
     return found
 
 
-@query()
+@query(f"WITH {_WIDTHS} SELECT 'none_' || dtype AS name, dtype, CAST(2 AS INTEGER) AS n_dims, CAST(0 AS BIGINT) AS n_elements, CAST(0 AS INTEGER) AS n_bytes FROM w UNION ALL SELECT 'scalar_' || dtype, dtype, 0, 1, width FROM w")
 def zero_size_tensors(spark, sf_dir):
     rows = scan.tensors(spark, typed_file(spark)).filter(~F.col("name").startswith("full_"))
     return rows.select("name", "dtype", F.size("shape").alias("n_dims"), sizes.element_count(F.col("shape")).alias("n_elements"), F.length("data").alias("n_bytes"))

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 
 from loomscan.functions.dtypes import DTYPES
-from loomscan.sources.files import TensorFileError, read_range
+from loomscan.sources.files import OpenFile, Roots, Store, TensorFileError
 
 HEADER_LIMIT = 100 * 1024 * 1024
 LENGTH_BYTES = 8
@@ -85,18 +85,24 @@ def parse_header(body: bytes) -> list[Tensor]:
     return [Tensor(i, name, dtype, shape, start, end, base) for i, (start, end, name, dtype, shape) in enumerate(raw)]
 
 
-def read_header(path: str, roots: dict[str, str] | None = None) -> list[Tensor]:
-    """The tensors of a file, by two small reads."""
+def header_of(f: OpenFile) -> list[Tensor]:
+    """The tensors of an open file, by two small reads."""
     try:
-        n = parse_length(read_range(path, 0, LENGTH_BYTES, roots))
+        n = parse_length(f.read(0, LENGTH_BYTES))
     except TensorFileError as e:
         if "End of file" in str(e):
-            raise TensorFileError(f"{path}: Corrupted file: truncated or empty") from e
-        raise TensorFileError(f"{path}: {e}") from e
+            raise TensorFileError(f"{f.path}: Corrupted file: truncated or empty") from e
+        raise TensorFileError(f"{f.path}: {e}") from e
     try:
-        return parse_header(read_range(path, LENGTH_BYTES, n, roots))
+        return parse_header(f.read(LENGTH_BYTES, n))
     except TensorFileError as e:
-        raise TensorFileError(f"{path}: {e}") from e
+        raise TensorFileError(f"{f.path}: {e}") from e
+
+
+def read_header(path: str, roots: Roots = None, store: Store = None) -> list[Tensor]:
+    """The tensors of a file."""
+    with OpenFile(path, roots, store) as f:
+        return header_of(f)
 
 
 def make_header(entries: list[tuple[str, str, list[int], int]]) -> bytes:

@@ -15,7 +15,7 @@ from loomscan.sources.files import copy_file, listing, remapped
 REMOTE = ("s3://", "gs://", "az://")
 
 
-def pull_files(path: str, target: str, allow: list[str] | None = None, ignore: list[str] | None = None, roots: dict[str, str] | None = None, spark: SparkSession | None = None) -> int:
+def pull_files(path: str, target: str, allow: list[str] | None = None, ignore: list[str] | None = None, roots: dict[str, str] | None = None, spark: SparkSession | None = None, store: dict[str, str] | None = None) -> int:
     """Copy what lies below a remote prefix to a folder, keeping relative paths; how many files. Nothing that matches is no error.
 
     With a session the copies run as tasks, for a target that all executors share; a task that is tried again copies anew.
@@ -23,16 +23,16 @@ def pull_files(path: str, target: str, allow: list[str] | None = None, ignore: l
     if not path.startswith(REMOTE):
         raise NotImplementedError(f"only object stores can be pulled from, not {path!r}")
     prefix = path.rstrip("/") + "/"
-    found = listing(prefix, allow, ignore, recursive=True, roots=roots)
+    found = listing(prefix, allow, ignore, recursive=True, roots=roots, store=store)
     pairs = [(f.path, os.path.join(target, f.path.removeprefix(prefix))) for f in found]
     if spark is None or len(pairs) < 2:
         for source, to in pairs:
-            copy_file(source, to, roots)
+            copy_file(source, to, roots, store=store)
         return len(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [copy_file(source, to, roots) for source, to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            sizes = [copy_file(source, to, roots, store=store) for source, to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, type=pa.int64())], names=["size"])
 
     tasks = min(len(pairs), 4 * spark.sparkContext.defaultParallelism)
@@ -49,10 +49,10 @@ class Materialized:
 
     MARK = ".loomscan_complete"
 
-    def __init__(self, path: str, target: str, roots: dict[str, str] | None = None):
+    def __init__(self, path: str, target: str, roots: dict[str, str] | None = None, store: dict[str, str] | None = None):
         if not path.startswith(REMOTE):
             raise ValueError(f"{path!r} is not an object-store path (expected s3://, gs:// or az://)")
-        self.path, self.roots = path.rstrip("/") + "/", roots
+        self.path, self.roots, self.store = path.rstrip("/") + "/", roots, store
         self.dir = target.rstrip("/") or "/"
         self.mark = os.path.join(self.dir, self.MARK)
         self.done = False
@@ -84,7 +84,7 @@ class Materialized:
             self.lock.close()
 
     def pull(self, allow: list[str] | None = None, ignore: list[str] | None = None) -> int:
-        return 0 if self.done else pull_files(self.path, self.dir, allow, ignore, self.roots)
+        return 0 if self.done else pull_files(self.path, self.dir, allow, ignore, self.roots, store=self.store)
 
     def __enter__(self) -> Materialized:
         return self

@@ -1,4 +1,12 @@
-"""Settings that may come from the environment, read strictly."""
+"""Settings of readers and planners, read strictly: those given to a scan or a step, then LOOMSCAN_… of the driver's environment.
+
+concurrency       requests that a task keeps under way (16 on disks, 8 to object stores)
+block_bytes       bytes of one request to an object store
+memory_limit      bytes: of blocks that a task holds, and of one round of an iterator; -1 for no limit, 0 for the largest chunk
+partition_policy  how a planned scan deals chunks to its parts: chunks, or files
+batch_bytes       bytes of one batch of a broadcast schedule
+alignment         where chunks may begin in a batch
+"""
 
 from __future__ import annotations
 
@@ -34,13 +42,17 @@ class Options:
     alignment: int = 512
 
     @staticmethod
-    def read(kind: str = "file", environment: dict[str, str] | None = None) -> Options:
-        """Settings for a kind of storage ("file" or "object"), from LOOMSCAN_… where set. Blocks below the kind's floor are raised to it."""
+    def names() -> list[str]:
+        return [f.name for f in fields(Options)]
+
+    @staticmethod
+    def read(kind: str = "file", environment: dict[str, str] | None = None, given: dict[str, str] | None = None) -> Options:
+        """Settings for a kind of storage ("file" or "object"), from LOOMSCAN_… where not given. Blocks below the kind's floor are raised to it."""
         found: dict = {"concurrency": CONCURRENCY[kind], "block_bytes": BLOCK_DEFAULT[kind]}
         environment = dict(os.environ) if environment is None else environment
         ranges = {"concurrency": (1, None), "block_bytes": (1, None), "memory_limit": (-1, None), "batch_bytes": (1, None), "alignment": (0, 1 << 20)}
         for f in fields(Options):
-            text = environment.get(PREFIX + f.name.upper())
+            text = (given or {}).get(f.name, environment.get(PREFIX + f.name.upper()))
             if text is None:
                 continue
             found[f.name] = whole_number(f.name, text, *ranges[f.name]) if f.name in ranges else text

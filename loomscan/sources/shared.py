@@ -16,9 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="loomscan-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
+        _delete_at_end(spark, found)
     return found.rstrip("/")
 
 
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Make a folder that goes when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+
+
 def fresh_dir(spark: SparkSession, kind: str = "files") -> str:
-    """A name, not used before, for a folder in the shared one."""
-    return f"{shared_dir(spark)}/loomscan-{kind}-{uuid.uuid4().hex}"
+    """A name, not used before, for a folder below the shared one; what is written there goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/loomscan-{kind}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, folder)
+    return f"{folder}/data"

@@ -4,91 +4,114 @@ tensorcatalog  one row for each tensor, from headers alone
 tensorfile     the same rows with their bytes
 bytechunks     the bytes of a chunk manifest
 
-Headers are read where a scan is planned, as one small read a file, by threads; bytes are read by executors, one input
-partition for about partition_bytes of neighbouring tensors. A value is never split. Options:
+The driver only lists files and their sizes. Files are cut into input partitions of about partition_bytes by their sizes; a task
+reads the headers of its files (two small reads each) and the tensors whose bytes begin in its part, neighbours in one request. A
+value is never split. Options:
 
-path             a file, a folder (its *.safetensors), or a glob; several are given by load([...])
+path             a file, a folder (its *.safetensors), or a glob, on disks and in stores alike
+paths            JSON list of several
 uri_root_map     JSON object from URI prefixes to other roots
+store            JSON object of settings for object stores (loomscan.sources.storage)
 partition_bytes  bytes of one input partition (default 128 MiB)
 names            JSON list of tensor names; other tensors aren't read
 manifest         (bytechunks) JSON list of [file_id, path, offset, [sizes]]
+concurrency, block_bytes, memory_limit   as in loomscan.sources.options
 """
 
 from __future__ import annotations
 
-import glob
 import json
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from loomscan.sources.files import file_system, list_tensor_files, parse_roots, read_ranges
-from loomscan.sources.headers import Tensor, read_header
+from loomscan.sources.files import Found, OpenFile, Roots, Store, file_system, glob_files, listing, parse_roots, read_blocks, remapped, scheme_of
+from loomscan.sources.headers import Tensor, header_of
+from loomscan.sources.options import Options
 
 PARTITION_BYTES = 128 << 20
+#: Bytes of one request, and so of one record batch, that neighbouring rows are gathered to.
 BATCH_BYTES = 16 << 20
+#: What a file costs besides its bytes when files are dealt to partitions, and the most parts of one.
+FILE_COST = 1 << 20
 CATALOG_SCHEMA = "path string, file_id bigint, tensor_idx int, name string, dtype string, shape array<bigint>, start bigint, end bigint, data_base bigint"
 FILE_SCHEMA = CATALOG_SCHEMA + ", data binary"
 CHUNK_SCHEMA = "file_id bigint, path string, chunk_idx int, offset bigint, size bigint, data binary"
 
 
-def expand(paths: list[str], roots: dict[str, str]) -> list[str]:
-    """Files for paths that may be folders or globs; objects that look like files are taken as given."""
-    found: list[str] = []
+def expand(paths: list[str], roots: Roots = None, store: Store = None) -> list[Found]:
+    """Files with their sizes for paths that may be folders or globs. What isn't there has no bytes: reading it is an error."""
+    found: list[Found] = []
     for p in paths:
-        if p.endswith(".safetensors"):
-            found.append(p)
-            continue
-        system, local = file_system(p, roots)
         if any(c in p for c in "*?["):
-            found += sorted(glob.glob(local))
+            found += glob_files(p, roots, store)
             continue
+        system, local = file_system(p, roots, store)
         info = system.get_file_info(local.rstrip("/"))
-        found += list_tensor_files(p, roots) if info.is_file is False else [p]
+        if info.is_file:
+            found.append(Found(p, info.size))
+        elif p.endswith(".safetensors"):
+            found.append(Found(p, 0))
+        else:
+            found += listing(p, allow=["*.safetensors"], roots=roots, store=store)
     return found
 
 
 @dataclass
 class Part(InputPartition):
-    """Neighbouring rows of one or more files; several files only while they are small."""
+    """Parts [low, high) of files, by where a tensor begins: (file_id, path, low, high). high is -1 to the end."""
 
-    files: list[tuple[int, str, list[Tensor]]]
+    files: list[tuple[int, str, int, int]]
 
-    def __init__(self, files: list[tuple[int, str, list[Tensor]]]):
+    def __init__(self, files: list[tuple[int, str, int, int]]):
         self.files = files
 
 
-def batches(rows: Iterator[tuple[tuple, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Record batches of about BATCH_BYTES of payload."""
-    held, size = [], 0
-    for row, data in rows:
-        held.append((*row, data))
-        size += len(data) + 64
-        if size >= BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+def read_rows(path: str, ranges: list[tuple[int, int]], roots: Roots, store: Store, options: Options | None = None) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first, last + 1, bytes) of runs of ranges: neighbours that follow each other are read as one, and their values are views of it."""
+    runs: list[tuple[int, int]] = []
+    at = 0
+    while at < len(ranges):
+        end, size = at + 1, ranges[at][1]
+        while end < len(ranges) and ranges[end][0] == ranges[end - 1][0] + ranges[end - 1][1] and size + ranges[end][1] <= BATCH_BYTES:
+            size += ranges[end][1]
+            end += 1
+        runs.append((at, end))
+        at = end
+    blocks = [(ranges[a][0], sum(n for _, n in ranges[a:b])) for a, b in runs]
+    for (a, b), data in zip(runs, read_blocks(path, blocks, roots, store, options), strict=True):
+        ends = np.cumsum([n for _, n in ranges[a:b]], dtype=np.int64)
+        if ends[-1] >= 1 << 31:
+            raise ValueError(f"{path}: a value of {ends[-1]} bytes is too large for a row")
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        yield a, b, pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), data])
 
 
 _ARROW = [("path", pa.string()), ("file_id", pa.int64()), ("tensor_idx", pa.int32()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64()), ("data_base", pa.int64())]
 
 
+def reader_options(options: dict, paths: list[str], roots: Roots) -> Options:
+    """The settings of a scan: its own options, then the environment."""
+    kind = "file" if all(scheme_of(remapped(p, roots)) == "file" for p in paths) else "object"
+    return Options.read(kind, given={k: v for k, v in options.items() if k in Options.names()})
+
+
 class TensorReader(DataSourceReader):
     def __init__(self, options: dict, payload: bool):
         self.roots = parse_roots(options.get("uri_root_map"))
-        paths = json.loads(options["paths"]) if "paths" in options else [options["path"]] if "path" in options else []
-        self.paths = paths
+        self.store = json.loads(options["store"]) if "store" in options else None
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]] if "path" in options else []
         self.payload = payload
         self.limit = int(options.get("partition_bytes", PARTITION_BYTES))
         if self.limit <= 0:
             raise ValueError("partition_bytes must be positive")
         self.names = set(json.loads(options["names"])) if "names" in options else None
+        self.options = reader_options(options, self.paths, self.roots)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Equality and membership of names limit what is read; anything else is left to Spark."""
@@ -100,46 +123,40 @@ class TensorReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Part]:
-        files = expand(self.paths, self.roots)
-        with ThreadPoolExecutor(16) as pool:
-            headers = list(pool.map(lambda p: read_header(p, self.roots), files))
+        """Neighbouring files together while they are small, large ones in parts of the limit."""
         parts: list[Part] = []
-        now: list[tuple[int, str, list[Tensor]]] = []
+        now: list[tuple[int, str, int, int]] = []
         size = 0
-        for file_id, (path, tensors) in enumerate(zip(files, headers, strict=True)):
-            own: list[Tensor] = []
-            for t in tensors:
-                if self.names is not None and t.name not in self.names:
-                    continue
-                cost = t.size + 256 if self.payload else 256
-                if size and size + cost > self.limit:
-                    if own:
-                        now.append((file_id, path, own))
+        for file_id, f in enumerate(expand(self.paths, self.roots, self.store)):
+            pieces = max(1, -(-f.size // self.limit)) if self.payload else 1
+            cost = min(FILE_COST, self.limit // 16) + (f.size if self.payload else 0)
+            if now and (size + cost > self.limit or pieces > 1):
+                parts.append(Part(now))
+                now, size = [], 0
+            for i in range(pieces):
+                now.append((file_id, f.path, i * self.limit, (i + 1) * self.limit if i < pieces - 1 else -1))
+                if pieces > 1:
                     parts.append(Part(now))
-                    now, own, size = [], [], 0
-                own.append(t)
-                size += cost
-            if own:
-                now.append((file_id, path, own))
-        if now:
-            parts.append(Part(now))
-        return parts or [Part([])]
+                    now = []
+            size += cost if pieces == 1 else 0
+        return parts + [Part(now)] * bool(now) or [Part([])]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(_ARROW + [("data", pa.binary())] * self.payload)
-
-        def rows() -> Iterator[tuple[tuple, bytes]]:
-            for file_id, path, tensors in partition.files:
-                data = read_ranges(path, [(t.base + t.start, t.size) for t in tensors], self.roots) if self.payload else iter(lambda: b"", None)
-                for t, value in zip(tensors, data, strict=False):
-                    yield (path, file_id, t.index, t.name, t.dtype, list(t.shape), t.start, t.end, t.base), value
-
-        if self.payload:
-            yield from batches(rows(), schema)
-            return
-        held = [row for row, _ in rows()]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        for file_id, path, low, high in partition.files:
+            with OpenFile(path, self.roots, self.store) as f:
+                tensors = header_of(f)
+            tensors = [t for t in tensors if low <= t.base + t.start and (high < 0 or t.base + t.start < high) and (self.names is None or t.name in self.names)]
+            if self.payload:
+                for a, b, data in read_rows(path, [(t.base + t.start, t.size) for t in tensors], self.roots, self.store, self.options):
+                    yield pa.RecordBatch.from_arrays([*self._columns(file_id, path, tensors[a:b]), data], schema=schema)
+            elif tensors:
+                yield pa.RecordBatch.from_arrays(self._columns(file_id, path, tensors), schema=schema)
+
+    @staticmethod
+    def _columns(file_id: int, path: str, tensors: list[Tensor]) -> list[pa.Array]:
+        rows = zip(*((path, file_id, t.index, t.name, t.dtype, t.shape, t.start, t.end, t.base) for t in tensors), strict=True)
+        return [pa.array(c, type=t) for c, (_, t) in zip(rows, _ARROW, strict=True)]
 
 
 class TensorCatalog(DataSource):
@@ -177,8 +194,10 @@ class ChunkPart(InputPartition):
 class ChunkReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = parse_roots(options.get("uri_root_map"))
+        self.store = json.loads(options["store"]) if "store" in options else None
         self.requests = json.loads(options.get("manifest", "[]"))
         self.limit = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.options = reader_options(options, [r[1] for r in self.requests], self.roots)
 
     def partitions(self) -> list[ChunkPart]:
         parts, now, size = [], [], 0
@@ -194,26 +213,24 @@ class ChunkReader(DataSourceReader):
         return parts + [ChunkPart(now)] * bool(now) or [ChunkPart([])]
 
     def read(self, partition: ChunkPart) -> Iterator[pa.RecordBatch]:
-        yield from read_manifest(partition.rows, self.roots)
+        yield from read_manifest(partition.rows, self.roots, self.store, self.options)
 
 
 _CHUNK_ARROW = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("chunk_idx", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("data", pa.binary())])
 
 
-def read_manifest(rows: list[tuple[int, str, int, int, int]], roots: dict[str, str]) -> Iterator[pa.RecordBatch]:
+def read_manifest(rows: list[tuple[int, str, int, int, int]], roots: Roots, store: Store = None, options: Options | None = None) -> Iterator[pa.RecordBatch]:
     """Bytes of (file_id, path, chunk_idx, offset, size), each file opened once for a run of its rows."""
-
-    def read() -> Iterator[tuple[tuple, bytes]]:
-        at = 0
-        while at < len(rows):
-            end = at
-            while end < len(rows) and rows[end][1] == rows[at][1]:
-                end += 1
-            for row, data in zip(rows[at:end], read_ranges(rows[at][1], [(r[3], r[4]) for r in rows[at:end]], roots), strict=True):
-                yield row, data
-            at = end
-
-    yield from batches(read(), _CHUNK_ARROW)
+    at = 0
+    while at < len(rows):
+        end = at
+        while end < len(rows) and rows[end][1] == rows[at][1]:
+            end += 1
+        own = rows[at:end]
+        for a, b, data in read_rows(own[0][1], [(r[3], r[4]) for r in own], roots, store, options):
+            columns = [pa.array(c, type=f.type) for c, f in zip(zip(*own[a:b], strict=True), _CHUNK_ARROW, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, data], schema=_CHUNK_ARROW)
+        at = end
 
 
 class ByteChunks(DataSource):

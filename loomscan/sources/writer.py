@@ -1,4 +1,4 @@
-"""Writing tensor files and raw files from DataFrames."""
+"""Writing tensor files and raw files from DataFrames, to any place that readers reach."""
 
 from __future__ import annotations
 
@@ -11,24 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.functions.dtypes import DTYPES
+from loomscan.sources.files import Roots, Store, file_system
 from loomscan.sources.headers import element_count, make_header
 
 BLOCK = 8 << 20
 
 
-def _local(folder: str) -> str:
-    return "/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder
-
-
 class FileWriter:
-    """One file: payload goes to a part file as it comes; the header, if there is one, is known at the end."""
+    """One file: payload goes to a part file as it comes; the header, if there is one, is known at the end. The file is there when it is whole."""
 
-    def __init__(self, path: str, tensors: bool):
+    def __init__(self, path: str, tensors: bool, roots: Roots = None, store: Store = None):
         context = TaskContext.get()
         self.path, self.tensors, self.entries, self.size = path, tensors, [], 0
-        self.part = f"{path}.{context.taskAttemptId() if context else os.getpid()}.part"
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        self.handle = open(self.part, "wb")  # noqa: SIM115
+        self.system, self.place = file_system(path, roots, store)
+        self.part = f"{self.place}.{context.taskAttemptId() if context else os.getpid()}.part"
+        self.system.create_dir(os.path.dirname(self.place), recursive=True)
+        self.handle = self.system.open_output_stream(self.part)
 
     def put(self, name: str | None, dtype: str | None, shape: list[int] | None, data: bytes | None) -> None:
         data = data or b""
@@ -44,30 +42,30 @@ class FileWriter:
         header = make_header(self.entries) if self.tensors else b""
         if header:
             whole = self.part + "w"
-            with open(self.part, "rb") as source, open(whole, "wb") as out:
+            with self.system.open_input_stream(self.part) as source, self.system.open_output_stream(whole) as out:
                 out.write(header)
                 while block := source.read(BLOCK):
                     out.write(block)
-            os.remove(self.part)
+            self.system.delete_file(self.part)
             self.part = whole
-        os.replace(self.part, self.path)
+        self.system.move(self.part, self.place)
         return self.path, len(header), self.size
 
 
-def _write(df: DataFrame, folder: str, tensors: bool) -> DataFrame:
+def _write(df: DataFrame, folder: str, tensors: bool, store: Store = None) -> DataFrame:
     """Rows of one file meet in one task, in order; a task writes its files one after the other and holds one row at a time."""
-    root = _local(folder)
+    root = folder.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, done = None, []
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("file", "name", "dtype", "shape", "data")]
             for file, *row in zip(*cols, strict=True):
-                path = os.path.join(root, file)
+                path = f"{root}/{file}"
                 if writer is None or writer.path != path:
                     if writer:
                         done.append(writer.close())
-                    writer = FileWriter(path, tensors)
+                    writer = FileWriter(path, tensors, store=store)
                 writer.put(*row)
         if writer:
             done.append(writer.close())
@@ -77,15 +75,15 @@ def _write(df: DataFrame, folder: str, tensors: bool) -> DataFrame:
     return df.repartition("file").sortWithinPartitions("file", "idx").select("file", "name", "dtype", "shape", "data").mapInArrow(run, "path string, header_bytes bigint, data_bytes bigint")
 
 
-def write_tensor_files(df: DataFrame, folder: str) -> list[tuple[str, int, int]]:
+def write_tensor_files(df: DataFrame, folder: str, store: Store = None) -> list[tuple[str, int, int]]:
     """Write rows (file, idx, name, dtype, shape, data) as tensor files below a shared folder; (path, header bytes, data bytes) of each file."""
-    return sorted((r[0], r[1], r[2]) for r in _write(df, folder, True).collect())
+    return sorted((r[0], r[1], r[2]) for r in _write(df, folder, True, store).collect())
 
 
-def write_raw_files(df: DataFrame, folder: str) -> list[tuple[str, int, int]]:
+def write_raw_files(df: DataFrame, folder: str, store: Store = None) -> list[tuple[str, int, int]]:
     """Write rows (file, idx, data) as files of the bytes one after the other."""
     rows = df.select("file", "idx", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("dtype"), F.lit(None).cast("array<bigint>").alias("shape"), "data")
-    return sorted((r[0], r[1], r[2]) for r in _write(rows, folder, False).collect())
+    return sorted((r[0], r[1], r[2]) for r in _write(rows, folder, False, store).collect())
 
 
 def float_bytes(values):

@@ -35,7 +35,7 @@ def test_corrupt_headers(spark, corrupt):
     for name, n in FINE.items():
         assert len(read_header(str(corrupt / f"{name}.safetensors"))) == n
     rows = {r["file"]: r for r in queries.validate_corrupt_files(spark, "").collect()}
-    assert {k for k, r in rows.items() if r["error"]} == ERRORS.keys() and all(rows[k]["n_tensors"] == n for k, n in FINE.items())
+    assert {k for k, r in rows.items() if r["problem"]} == ERRORS.keys() and all(rows[k]["n_tensors"] == n for k, n in FINE.items())
 
 
 def test_truncated_body_fails_while_reading(spark, corrupt):
