@@ -9,8 +9,8 @@ best of a text only segments whose loss is no more than the (n - 1)-th smallest
 by A*, and their lists are merged from left to right.
 
 Segmentations stand in one order everywhere: by score, and equal scores by the longer of the last pieces that differ. The order
-of a text's follows from those of its segments, read from the last. Scores are summed as whole numbers (of 2^-20), so that equal
-ones are equal in whatever order they are summed.
+of a text's follows from those of its segments, read from the last. Scores are summed as whole numbers (of 2^-20, if they aren't
+whole), so that equal ones are equal in whatever order they are summed.
 
 A character without a piece takes its byte pieces, at a score below every piece but such placeholders. Control pieces are never used. Decoding
 joins the pieces' bytes and drops the leading space that encoding put.
@@ -44,7 +44,7 @@ ARRAY_LENGTH = 40
 MULTIPLIER = 0x9E3779B97F4A7C15
 SPREAD = 0xD6E8FEB86659FD93
 FIRST_BITS = 18
-#: Scores are whole numbers of 1 / UNIT; NEVER is below all sums of them.
+#: Steps of one that scores are rounded to if they aren't whole; NEVER is below all sums over a segment that is solved in arrays.
 UNIT = 1 << 20
 NEVER = -(1 << 61)
 #: Pieces with scores of this and less stand in the vocabulary only so that every text has pieces.
@@ -97,7 +97,8 @@ class Pieces:
         self.bytes: list[int] = [0] * 256
         self.surface: list[bytes] = []
         scores = [s for p, s, ok in pieces if ok and not re.fullmatch("<0x[0-9A-F]{2}>", p)]
-        self.penalty = round((min((s for s in scores if s > PLACEHOLDER), default=0.0) - 10.0) * UNIT)
+        self.unit = 1 if all(s == round(s) for s in scores) else UNIT
+        self.penalty = round((min((s for s in scores if s > PLACEHOLDER), default=0.0) - 10.0) * self.unit)
         for i, (p, s, ok) in enumerate(pieces):
             if re.fullmatch("<0x[0-9A-F]{2}>", p):
                 self.bytes[int(p[3:5], 16)] = i
@@ -105,7 +106,7 @@ class Pieces:
                 continue
             self.surface.append(p.replace(SPACE, " ").encode() if ok else b"")
             if ok:
-                self.ids[p] = (i, round(s * UNIT))
+                self.ids[p] = (i, round(s * self.unit))
         self.lengths = np.array([len(x) for x in self.surface], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.surface) or b" ", dtype=np.uint8)
@@ -221,8 +222,8 @@ class Solved:
             hit = self.hashes[at] == h
         return at, hit
 
-    def __call__(self, segments: list[str]) -> Iterator[tuple[str, tuple[bytes, int, int, int]]]:
-        """(segment, (ids of the best segmentation, its score, its pieces, the loss to the second best)) of each."""
+    def __call__(self, segments: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Segments in groups with, of each, the best score, its pieces, the loss to the second best, and all ids of the best segmentations one after the other."""
         by_length: dict[int, list[str]] = {}
         for s in segments:
             by_length.setdefault(len(s), []).append(s)
@@ -230,13 +231,14 @@ class Solved:
             if length > ARRAY_LENGTH:
                 for s in group:
                     two = self.pieces.n_best(s, 2)
-                    yield s, (np.array(two[0][1], dtype="<i4").tobytes(), two[0][0], len(two[0][1]), two[0][0] - two[1][0] if len(two) > 1 else -NEVER)
+                    loss = two[0][0] - two[1][0] if len(two) > 1 else -NEVER
+                    yield [s], np.array([two[0][0]]), np.array([len(two[0][1])]), np.array([loss]), np.array(two[0][1], dtype="<i4")
                 continue
             for at in range(0, len(group), ARRAY_ROWS):
                 part = group[at : at + ARRAY_ROWS]
-                yield from zip(part, self._solve(part, length), strict=True)
+                yield part, *self._solve(part, length)
 
-    def _solve(self, group: list[str], length: int) -> Iterator[tuple[bytes, int, int, int]]:
+    def _solve(self, group: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n, longest = len(group), min(self.pieces.longest, length)
         codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length).T.astype(np.uint64) + np.uint64(1)
         edges, found = {}, {}  # by piece length, for those that are found: scores and ids, by start and segment
@@ -269,35 +271,40 @@ class Solved:
             for size in sizes:
                 if size <= length - i:
                     np.maximum(behind[i], edges[size][i] + behind[i + size], out=behind[i])
-        flat_ids = np.full((sizes[0] + 1, length, n), -1, dtype=np.int32)
-        other = np.full((sizes[0] + 1, length, n), NEVER)
-        for size in sizes:
-            flat_ids[size, : length - size + 1] = found[size]
-            other[size, : length - size + 1] = ahead[: length - size + 1] + edges[size] + behind[size:]
+        # the best segmentation, from its end; by start, the length of its piece there
         best_ids, count = np.full((n, length), -1, dtype="<i4"), np.zeros(n, dtype=np.int64)
-        where = np.full((n, length), -1, dtype=np.int64)
+        where, on_path = np.full((n, length), -1, dtype=np.int64), np.zeros((length, n), dtype=np.int64)
         rows, end = np.arange(n), np.full(n, length)
         while len(rows):
             size = taken[end, rows]
             start = end - size
             count[rows] += 1
-            best_ids[rows, length - count[rows]] = flat_ids[size, start, rows]
             where[rows, length - count[rows]] = start
-            other[size, start, rows] = NEVER
+            on_path[start, rows] = size
             more = start > 0
             rows, end = rows[more], start[more]
-        second = other.max(axis=(0, 1))
+        second = np.full(n, NEVER)
+        for size in sizes:
+            score = ahead[: length - size + 1] + edges[size] + behind[size:]
+            mine = on_path[: length - size + 1] == size
+            score[mine] = NEVER
+            np.maximum(second, score.max(axis=0), out=second)
+            start, row = np.nonzero(mine)
+            on_path[start, row] = -2 - found[size][start, row]  # done with: the id, -1 for none, as a number below zero
+        begins = on_path.T != 0
+        best_ids[np.arange(length) >= length - count[:, None]] = (-2 - on_path.T)[begins]
         loss = np.where(second > NEVER // 2, ahead[length] - second, -NEVER)
-        odd = ((best_ids < 0) & (where >= 0)).any(axis=1).tolist()
-        raw, step = best_ids.tobytes(), 4 * length
-        for k, (score, pieces, lost) in enumerate(zip(ahead[length].tolist(), count.tolist(), loss.tolist(), strict=True)):
-            if odd[k]:
-                ids, full = best_ids[k, length - pieces :], []
-                for i, at in zip(ids.tolist(), where[k, length - pieces :].tolist(), strict=True):
+        odd = np.flatnonzero(((best_ids < 0) & (where >= 0)).any(axis=1)).tolist()
+        if odd:  # characters without a piece take their bytes' pieces
+            rows = [best_ids[k, length - count[k] :] for k in range(n)]
+            for k in odd:
+                full: list[int] = []
+                for i, at in zip(rows[k].tolist(), where[k, length - count[k] :].tolist(), strict=True):
                     full += [i] if i >= 0 else [self.pieces.bytes[b] for b in group[k][at].encode("utf-8", "replace")]
-                yield np.array(full, dtype="<i4").tobytes(), score, len(full), lost
-                continue
-            yield raw[(k + 1) * step - 4 * pieces : (k + 1) * step], score, pieces, lost
+                rows[k] = np.array(full, dtype="<i4")
+                count[k] = len(full)
+            return ahead[length], count, loss, np.concatenate(rows)
+        return ahead[length], count, loss, best_ids[np.arange(length) >= length - count[:, None]]
 
 
 class Segmenter:
@@ -306,67 +313,101 @@ class Segmenter:
     def __init__(self, pieces: Pieces, n: int):
         self.pieces, self.n = pieces, n
         self.solved = Solved(pieces)
-        self.known: dict[str, tuple[bytes, int, int, int]] = {}
-        self.searched: dict[str, list[tuple[int, int, bytes, int]]] = {}
+        self.searched: dict[str, list[tuple[int, int, np.ndarray]]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """By number of a segment: score, pieces and loss of its best segmentation, and where its ids begin in ids."""
+        self.known: dict[str, int] = {}
+        self.scores = self.counts = self.losses = self.starts = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<i4")
 
     def segments(self, text: str | None) -> list[str]:
         return self.pieces.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[list[tuple[float, bytes, int]]]:
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[tuple[float, np.ndarray, int]]]:
         """For each text (score, ids as little-endian 32-bit numbers, pieces) of its n best segmentations."""
         split = [self.segments(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self._forget()
         if len(self.searched) > REMEMBERED:
             self.searched.clear()
-        missing = set().union(*split).difference(self.known)
-        self.known.update(self.solved(list(missing)))
+        self._learn(list(set().union(*split).difference(self.known)))
         for segments in split:
             yield self._merge(segments)
 
-    def encode(self, text: str | None) -> list[tuple[float, bytes, int]]:
+    def _learn(self, segments: list[str]) -> None:
+        names, columns = [], [[self.scores], [self.counts], [self.losses], [self.ids]]
+        for group, *found in self.solved(segments):
+            names += group
+            for column, x in zip(columns, found, strict=True):
+                column.append(x)
+        self.scores, self.counts, self.losses, self.ids = (np.concatenate(x) for x in columns)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+
+    def encode(self, text: str | None) -> list[tuple[float, np.ndarray, int]]:
         return next(self.encode_all([text]))
 
-    def _search(self, segment: str) -> list[tuple[int, int, bytes, int]]:
-        """(loss, place among the n by the longer last differing piece, ids, pieces) of the n best, in order."""
+    def _search(self, segment: str) -> list[tuple[int, int, np.ndarray]]:
+        """(loss, place among the n by the longer last differing piece, ids) of the n best, in order."""
         found = self.searched.get(segment)
         if found is None:
             best = self.pieces.n_best(segment, self.n)
             by = sorted(range(len(best)), key=lambda i: [-x for x in best[i][2]])
             place = {i: p for p, i in enumerate(by)}
-            found = [(best[0][0] - s, place[i], np.array(ids, dtype="<i4").tobytes(), len(ids)) for i, (s, ids, _) in enumerate(best)]
-            self.searched[segment] = found
+            found = self.searched[segment] = [(best[0][0] - s, place[i], np.array(ids, dtype="<i4")) for i, (s, ids, _) in enumerate(best)]
         return found
 
-    def _merge(self, segments: list[str]) -> list[tuple[float, bytes, int]]:
+    def _near(self, segments: list[str], losses: np.ndarray) -> list[int]:
+        """The segments that can differ from their best in one of the n best, in order."""
+        n = self.n
+        if len(losses) <= n - 1:
+            return list(range(len(losses)))
+        limit = int(np.partition(losses, n - 2)[n - 2])
+        below, tied = np.flatnonzero(losses < limit).tolist(), np.flatnonzero(losses == limit).tolist()
+        if len(below) + len(tied) <= 2 * n:
+            return sorted(below + tied)
+        if limit == 0:
+            # all of the n best are ties, and what leaves its best only in segments before another's comes before it
+            return tied[: n - 1]
+        # of the n best at most one tied segment differs. If the difference puts it later, n - 1 of them further left come before
+        # it; if it puts it earlier, n - 1 of them further right do.
+        later, earlier = [], []
+        for at in tied:
+            found = self._search(segments[at])
+            if len(later) < n - 1 and any(loss == limit and place > found[0][1] for loss, place, _ in found[1:]):
+                later.append(at)
+            if any(loss == limit and place < found[0][1] for loss, place, _ in found[1:]):
+                earlier.append(at)
+        return sorted({*below, *later, *earlier[len(earlier) - n + 1 if len(earlier) >= n else 0 :]})
+
+    def _merge(self, segments: list[str]) -> list[tuple[float, np.ndarray, int]]:
         if not segments:
-            return [(0.0, b"", 0)]
-        n, known = self.n, self.known
-        parts, scores, counts, losses = zip(*[known[s] for s in segments], strict=True)
-        if n == 1:
-            return [(sum(scores) / UNIT, b"".join(parts), sum(counts))]
-        if len(losses) > n - 1:
-            limit = sorted(losses)[n - 2]
-            near = [i for i, x in enumerate(losses) if x <= limit]
-            if limit == 0:
-                # all of the n best are ties: what leaves its best only in segments before another's comes before it
-                near = near[: n - 1]
-        else:
-            near = list(range(len(losses)))
-        # best first, the n best of the segments so far: (loss, rank of each segment that isn't at its best, from the last)
+            return [(0.0, self.ids[:0], 0)]
+        rows = np.fromiter(map(self.known.__getitem__, segments), dtype=np.int64, count=len(segments))
+        counts = self.counts[rows]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends + counts, counts)]
+        scores = self.scores[rows]
+        base = int(scores.sum()) if self.pieces.unit == 1 else sum(scores.tolist())
+        if self.n == 1:
+            return [(base / self.pieces.unit, ids, len(ids))]
+        # best first, the n best of the segments so far: (loss, the segments that aren't at their best, from the last, and which of theirs they take)
         now: list[tuple[int, tuple]] = [(0, ())]
-        for at in near:
+        for at in self._near(segments, self.losses[rows]):
             found = self._search(segments[at])
-            grown = sorted((loss + found[j][0], found[j][1], rank, j) for rank, (loss, _) in enumerate(now) for j in range(len(found)))[:n]
+            grown = sorted((loss + found[j][0], found[j][1], rank, j) for rank, (loss, _) in enumerate(now) for j in range(len(found)))[: self.n]
             now = [(loss, ((at, j), now[rank][1]) if j else now[rank][1]) for loss, _, rank, j in grown]
-        base, total, out = sum(scores), sum(counts), []
+        out = []
         for loss, picks in now:
-            changed, pieces = list(parts), total
+            parts, right = [], len(ids)
             while picks:
                 (at, j), picks = picks
-                _, _, changed[at], more = self.searched[segments[at]][j]
-                pieces += more - counts[at]
-            out.append(((base - loss) / UNIT, b"".join(changed), pieces))
+                parts += [ids[ends[at] : right], self.searched[segments[at]][j][2]]
+                right = ends[at] - counts[at]
+            mine = np.concatenate([ids[:right], *reversed(parts)]) if parts else ids
+            out.append(((base - loss) / self.pieces.unit, mine, len(mine)))
         return out
 
 
@@ -392,9 +433,9 @@ def encode(docs: DataFrame, n: int = N_BEST, id_col: str = "doc_id", text_col: s
                     size += len(texts[hi] or "")
                     hi += 1
                 rows = [(i, rank, *x) for i, found in enumerate(segmenter.encode_all(texts[lo:hi]), lo) for rank, x in enumerate(found, 1)]
-                columns = {"doc_id": batch.column("doc_id").take(pa.array([r[0] for r in rows], type=pa.int64())), "rank": pa.array([r[1] for r in rows], type=pa.int32()), "score": pa.array([r[2] for r in rows], type=pa.float64()), "n_pieces": pa.array([r[4] for r in rows], type=pa.int64()), "ids": pa.array([r[3] for r in rows], type=pa.binary())}
+                columns = {"doc_id": batch.column("doc_id").take(pa.array([r[0] for r in rows], type=pa.int64())), "rank": pa.array([r[1] for r in rows], type=pa.int32()), "score": pa.array([r[2] for r in rows], type=pa.float64()), "n_pieces": pa.array([r[4] for r in rows], type=pa.int64()), "ids": pa.array([r[3].tobytes() for r in rows], type=pa.binary())}
                 if decoded:
-                    columns["decoded"] = pa.array([segmenter.pieces.decode(np.frombuffer(r[3], dtype="<i4")) for r in rows], type=pa.string())
+                    columns["decoded"] = pa.array([segmenter.pieces.decode(r[3]) for r in rows], type=pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
                 lo = hi
 
