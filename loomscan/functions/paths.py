@@ -72,6 +72,15 @@ def normal_prefix(prefix: Column) -> Column:
     return F.when(bare == "", "").otherwise(F.concat(bare, F.lit("/")))
 
 
+def remap(path: Column, roots: dict[str, str]) -> Column:
+    """The path under a root map (prefix to root); the longest prefix that it begins with counts."""
+    found = path
+    for prefix, root in sorted(roots.items(), key=lambda x: len(x[0])):
+        rest = F.regexp_replace(F.substr(path, F.lit(len(prefix) + 1)), "^/+", "")
+        found = F.when(path.startswith(prefix), F.concat(F.lit(root.rstrip("/") + "/"), rest)).otherwise(found)
+    return found
+
+
 def directly_below(path: Column, prefix: Column) -> Column:
     """True for what a listing that doesn't descend returns."""
     rest = F.substr(path, F.char_length(prefix) + 1)

@@ -100,6 +100,11 @@ def padding(offset: Column, alignment: int) -> Column:
     return F.pmod(-offset, F.lit(alignment))
 
 
+def range_status(begin: Column, end: Column, total: Column) -> Column:
+    """The status code of a range [begin, end) of so many bytes: 0, or 7 if it isn't one."""
+    return F.when((begin < 0) | (end < begin) | (end > total), 7).otherwise(0)
+
+
 def little_endian(data: Column) -> Column:
     """The unsigned number (below 2^63) that 8 bytes encode, least byte first."""
     digits = F.hex(data)

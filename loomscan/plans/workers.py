@@ -7,10 +7,11 @@ their workers and no interval is ever joined with another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions.sizes import div, worker_base, worker_count
+from loomscan.sources.options import SCOPES, Options
 
 
 def quotas(total: DataFrame, block: int, concurrency: int) -> DataFrame:
@@ -47,6 +48,21 @@ def assign(ranges: DataFrame, quota: DataFrame) -> DataFrame:
     return cut.select(*ranges.columns, "worker", "task_start", (F.col("__end") - F.col("task_start")).alias("task_size"))
 
 
+def rank_groups(ranks: DataFrame, scope: str | None = None) -> DataFrame:
+    """ranks (rank, host) with group_id, place in the group and group_size: ranks of a host make a group (local), or all do (global); without a scope that of the settings counts."""
+    scope = Options.read().scope if scope is None else scope
+    if scope not in SCOPES:
+        raise ValueError(f"scope must be one of {SCOPES}")
+    hosts = ranks.groupBy("host").agg(F.count("*").alias("group_size"))  # few: the windows below run over hosts and ranks, never chunks
+    if scope == "local":
+        numbered = hosts.withColumn("group_id", (F.row_number().over(Window.orderBy("host")) - 1).cast("bigint"))
+        rows, by = ranks.join(numbered, "host"), Window.partitionBy("host").orderBy("rank")
+    else:
+        total = hosts.agg(F.sum("group_size").alias("group_size"))
+        rows, by = ranks.crossJoin(F.broadcast(total)).withColumn("group_id", F.lit(0).cast("bigint")), Window.orderBy("rank")
+    return rows.withColumn("place", (F.row_number().over(by) - 1).cast("bigint"))
+
+
 def completion(tasks: DataFrame, status: Column, order: list | None = None) -> DataFrame:
     """A chunk is complete when all its tasks are; its status is that of the last of them that failed, by order (by worker, then place), else 0."""
     by = F.struct(*(order or ["worker", "task_start"]))

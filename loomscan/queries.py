@@ -123,13 +123,28 @@ def request_validation(spark, sf_dir):
 # ---- raw ranges
 
 
+#: Folders that queries of an application have written, by what is in them: they are written once and scanned by many.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, kind: str, sf_dir: str, write) -> str:
+    key = (spark.sparkContext.applicationId, kind, sf_dir)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = write()
+    return _WRITTEN[key]
+
+
 def _raw_files(spark, sf_dir):
     """The documents' bytes as files below a root that stands for s3://corpus/; the root map."""
+    return {"s3://corpus/": _once(spark, "raw", sf_dir, lambda: _write_raw_files(spark, sf_dir))}
+
+
+def _write_raw_files(spark, sf_dir) -> str:
     folder = fresh_dir(spark)
     rows = base_manifest(spark, sf_dir)
     data = _documents(spark, sf_dir).select("doc_id", F.col("path").alias("file"), F.encode("text", "UTF-8").alias("data")).join(rows.select("doc_id", F.col("chunk_idx").alias("idx")), "doc_id")
     write_raw_files(data.withColumn("file", F.regexp_replace("file", "^s3://corpus/", "")), folder)
-    return {"s3://corpus/": folder}
+    return folder
 
 
 @query(f"WITH {_M} SELECT file_id, chunk_idx, size, md5(text) AS digest FROM m")
@@ -353,6 +368,17 @@ def host_groups(spark, sf_dir):
     return ranks.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("rank")).cast("array<string>"), ",").alias("ranks"), F.count("*").alias("n_ranks"))
 
 
+_RANKS = f"r AS (SELECT DISTINCT user_id AS rank, 'host' || (user_id % {HOSTS}) AS host FROM events)"
+
+
+@query(f"WITH {_RANKS} SELECT 'local' AS scope, rank, dense_rank() OVER (ORDER BY host) - 1 AS group_id, row_number() OVER (PARTITION BY host ORDER BY rank) - 1 AS place, count(*) OVER (PARTITION BY host) AS group_size FROM r UNION ALL SELECT 'global', rank, 0, row_number() OVER (ORDER BY rank) - 1, (SELECT count(*) FROM r) FROM r")
+def rank_groups(spark, sf_dir):
+    """Which ranks share what they read: those of one host, or all."""
+    ranks = _table(spark, sf_dir, "events").select(F.col("user_id").alias("rank"), F.concat(F.lit("host"), (F.col("user_id") % HOSTS).cast("string")).alias("host")).distinct()
+    both = [workers.rank_groups(ranks, scope).select(F.lit(scope).alias("scope"), "rank", "group_id", "place", "group_size") for scope in ("local", "global")]
+    return both[0].unionByName(both[1])
+
+
 # ---- paths
 
 
@@ -423,6 +449,28 @@ def list_recursive(spark, sf_dir):
     return _keys(spark, sf_dir).filter(F.col("key").startswith("models/2/") & paths.allowed(F.col("key"), None, ["*.json"]))
 
 
+_ROOTS = {"s3://": "/mirror/s3", "gs://www.": "/mirror/gs-www/", "gs://": "/mirror/gs"}
+
+
+@query(f"WITH {_U} SELECT page_id, CASE WHEN starts_with(path, 'gs://www.') THEN '/mirror/gs-www/' || substr(path, 10) WHEN starts_with(path, 's3://') THEN '/mirror/s3/' || substr(path, 6) WHEN starts_with(path, 'gs://') THEN '/mirror/gs/' || substr(path, 6) ELSE path END AS place FROM u")
+def uri_remap(spark, sf_dir):
+    """Where paths lie under a root map; the longest prefix counts."""
+    return _uris(spark, sf_dir).select("page_id", paths.remap(F.col("path"), _ROOTS).alias("place"))
+
+
+@query(f"WITH {_U} SELECT page_id, CASE WHEN starts_with(path, 's3://') THEN 's3a://' || substr(path, 6) WHEN starts_with(path, 'az://') THEN 'abfss://' || substr(path, 6) ELSE path END AS path FROM u")
+def connector_paths(spark, sf_dir):
+    """Paths as Spark's own readers take them."""
+    return _uris(spark, sf_dir).select("page_id", paths.connector_path(F.col("path")).alias("path"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN a < 0 OR b < a OR b > total THEN 7 ELSE 0 END AS INTEGER) AS status FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) - 20 AS a, CAST(l_suppkey AS BIGINT) * 10 AS b, 1500 AS total FROM lineitem)")
+def range_validation(spark, sf_dir):
+    """Ranges [begin, end) of a file of 1,500 bytes: before its begin, ending before they begin, or beyond its end."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey").cast("bigint") - 20).alias("a"), (F.col("l_suppkey").cast("bigint") * 10).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", sizes.range_status(F.col("a"), F.col("b"), F.lit(1500)).alias("status"))
+
+
 # ---- scalars
 
 
@@ -463,7 +511,11 @@ def alignment_padding(spark, sf_dir):
 
 
 def embedding_files(spark, sf_dir) -> str:
-    """embeddings as tensor files below a fresh folder, one a label; the folder."""
+    """embeddings as tensor files, one a label; their folder."""
+    return _once(spark, "tensors", sf_dir, lambda: _write_embedding_files(spark, sf_dir))
+
+
+def _write_embedding_files(spark, sf_dir) -> str:
     folder = fresh_dir(spark, "tensors")
     rows = _table(spark, sf_dir, "embeddings")
     vectors = rows.select(F.concat(F.lit("label-"), F.lpad(F.col("label").cast("string"), 5, "0"), F.lit(".safetensors")).alias("file"), F.col("vec_id").alias("idx"), F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("name"), F.lit("F32").alias("dtype"), F.array(F.size("embedding").cast("bigint")).alias("shape"), float_bytes(F.col("embedding")).alias("data"))
@@ -649,16 +701,31 @@ def typed_file(spark) -> str:
     return folder
 
 
-@query()
+# Exponent and mantissa bits of float types.
+_FLOATS = "f(dtype, eb, mb) AS (VALUES ('F64', 11, 52), ('F32', 8, 23), ('C64', 8, 23), ('F16', 5, 10), ('BF16', 8, 7), ('F8_E4M3', 4, 3), ('F8_E5M2', 5, 2))"
+_DECODED = f"""{_WIDTHS}, {_FLOATS}, x AS (SELECT dtype, CASE dtype WHEN 'C64' THEN 4 ELSE width END AS w, CASE WHEN width = 1 THEN 256 ELSE 32 * width END AS total FROM w WHERE dtype <> 'F4'),
+y AS (SELECT dtype, w, unnest(range(total // w)) AS pos FROM x), z AS (SELECT dtype, w, pos, unnest(range(w)) AS j FROM y),
+u AS (SELECT dtype, w, pos, sum(CAST(pos * w + j AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(8 * j AS INTEGER))) AS u FROM z GROUP BY dtype, w, pos),
+p AS (SELECT u.*, eb, mb, u // (CAST(1 AS HUGEINT) << mb) % (CAST(1 AS HUGEINT) << eb) AS e, u % (CAST(1 AS HUGEINT) << mb) AS m, CASE WHEN u >= (CAST(1 AS HUGEINT) << CAST(8 * w - 1 AS INTEGER)) THEN -1 ELSE 1 END AS sign, (CAST(1 AS HUGEINT) << (eb - 1)) - 1 AS bias FROM u LEFT JOIN f ON u.dtype = f.dtype),
+q AS (SELECT *, CASE WHEN dtype = 'F8_E8M0' AND u = 255 OR dtype = 'F8_E4M3' AND u % 128 = 127 THEN 'nan' WHEN dtype <> 'F8_E4M3' AND e = 2 * bias + 1 THEN CASE WHEN m <> 0 THEN 'nan' WHEN sign < 0 THEN '-inf' ELSE 'inf' END ELSE '' END AS special FROM p)
+SELECT 'full_' || dtype AS name, CAST(pos AS INTEGER) AS pos, special, CASE WHEN special <> '' THEN NULL WHEN dtype = 'F8_E8M0' THEN pow(2.0, CAST(u AS INTEGER) - 127) WHEN dtype = 'BOOL' THEN CAST(u <> 0 AS INTEGER)
+WHEN dtype LIKE 'I%' THEN CAST(CASE WHEN sign < 0 THEN u - (CAST(1 AS HUGEINT) << CAST(8 * w AS INTEGER)) ELSE u END AS DOUBLE) WHEN dtype LIKE 'U%' THEN CAST(u AS DOUBLE)
+WHEN e = 0 THEN sign * (CAST(m AS DOUBLE) / pow(2.0, mb)) * pow(2.0, CAST(1 - bias AS INTEGER)) ELSE sign * (1 + CAST(m AS DOUBLE) / pow(2.0, mb)) * pow(2.0, CAST(e - bias AS INTEGER)) END AS value FROM q"""
+
+
+@query(f"WITH {_DECODED}")
 def decode_all_dtypes(spark, sf_dir):
-    """Every element type decoded from all bytes, as text."""
-    rows, found = scan.tensors(spark, typed_file(spark)), None
+    """Every element type decoded from all bytes, a row for each element; complex numbers give two."""
+    rows, found = scan.tensors(spark, typed_file(spark)).filter(F.col("name").startswith("full_")), None
     for x in DTYPES.values():
         if x.decode is None:
             continue
-        one = decode(rows.filter(F.col("name").startswith("full_")), x.name).select("name", F.to_json(F.struct("values")).alias("values"))
+        one = decode(rows, x.name)
+        numbers = F.flatten(F.transform("values", lambda v: F.array(v["re"], v["im"]))) if x.name == "C64" else F.col("values")
+        one = one.select("name", F.posexplode(F.transform(numbers, lambda v: v.cast("double"))).alias("pos", "v"))
         found = one if found is None else found.unionByName(one)
-    return found
+    special = F.when(F.isnan("v"), "nan").when(F.col("v") == float("inf"), "inf").when(F.col("v") == float("-inf"), "-inf").otherwise("")
+    return found.select("name", "pos", special.alias("special"), F.when(special == "", F.col("v")).alias("value"))
 
 
 @query(f"WITH {_WIDTHS} SELECT 'none_' || dtype AS name, dtype, CAST(2 AS INTEGER) AS n_dims, CAST(0 AS BIGINT) AS n_elements, CAST(0 AS INTEGER) AS n_bytes FROM w UNION ALL SELECT 'scalar_' || dtype, dtype, 0, 1, width FROM w")

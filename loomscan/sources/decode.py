@@ -27,12 +27,13 @@ def decode(tensors: DataFrame, dtype: str, values_col: str = "values") -> DataFr
 
         for batch in batches:
             data = batch.column("data")
-            if fixed:  # bytes of all rows lie one after the other: no copy of elements
-                lengths = np.array([len(x) for x in data.to_pylist()], dtype=np.int64) // found.width
-                flat = np.frombuffer(b"".join(data.to_pylist()), dtype=fixed)
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), type=pa.int32()), pa.array(flat))
+            if fixed and not data.null_count:  # bytes of all rows lie one after the other: elements are views of them
+                _, places, held = data.buffers()
+                ends = np.frombuffer(places, dtype=np.int32, count=len(data) + 1, offset=4 * data.offset)
+                flat = np.frombuffer(held or b"", dtype=fixed, count=int(ends[-1] - ends[0]) // found.width, offset=int(ends[0]))
+                values = pa.ListArray.from_arrays(pa.array((ends - ends[0]) // found.width, type=pa.int32()), pa.array(flat))
             else:
-                values = pa.array([found.decode(x) for x in data.to_pylist()], type=pa.list_(exact))
+                values = pa.array([None if x is None else found.decode(x) for x in data.to_pylist()], type=pa.list_(exact))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], names=[*names, values_col])
 
     return rows.mapInArrow(run, f"{kinds}, `{values_col}` array<{found.spark}>")

@@ -6,6 +6,7 @@ memory_limit      bytes: of blocks that a task holds, and of one round of an ite
 partition_policy  how a planned scan deals chunks to its parts: chunks, or files
 batch_bytes       bytes of one batch of a broadcast schedule
 alignment         where chunks may begin in a batch
+scope             ranks that share what they read: those of a host (local), or all (global)
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from loomscan.functions.sizes import BLOCK_DEFAULT, BLOCK_FLOOR, CONCURRENCY
 
 PREFIX = "LOOMSCAN_"
 POLICIES = ("chunks", "files")
+SCOPES = ("local", "global")
 
 
 def whole_number(name: str, text: str, low: int | None = None, high: int | None = None) -> int:
@@ -40,6 +42,7 @@ class Options:
     partition_policy: str = POLICIES[0]
     batch_bytes: int = 1 << 30
     alignment: int = 512
+    scope: str = SCOPES[0]
 
     @staticmethod
     def names() -> list[str]:
@@ -58,6 +61,8 @@ class Options:
             found[f.name] = whole_number(f.name, text, *ranges[f.name]) if f.name in ranges else text
         if found.get("partition_policy", POLICIES[0]) not in POLICIES:
             raise ValueError(f"partition_policy must be one of {POLICIES}")
+        if found.get("scope", SCOPES[0]) not in SCOPES:
+            raise ValueError(f"scope must be one of {SCOPES}")
         found["block_bytes"] = max(found["block_bytes"], BLOCK_FLOOR[kind])
         return Options(**found)
 
