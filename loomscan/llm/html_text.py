@@ -226,7 +226,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     parts: list[str] = []
     linked: list[str] = []
     ends, size = _Ends(page), len(page)
-    links = heading = at = 0
+    links = link_at = heading = at = 0  # link_at: how many elements were open where a link began
 
     def close() -> None:
         if parts:
@@ -245,7 +245,10 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                 linked.append(text)
 
     def pop() -> None:
+        nonlocal links
         open_of[stack.pop()[0]] -= 1
+        if len(stack) < link_at:  # a link that was left open ends with the element it began in
+            links = 0
 
     while at < size:
         start = page.find("<", at)
@@ -287,7 +290,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             put(" ")
             continue
         if name == "a":
-            links = 0 if closing else 1
+            links, link_at = 0 if closing else 1, len(stack)
             put("")
             linked.append(" ")
             continue
@@ -301,7 +304,6 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
-            links = 0
             continue
         heading = int(name in HEADINGS)
         if name == "hr" or attributes.endswith("/") and name in VOID:

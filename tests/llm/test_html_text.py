@@ -115,6 +115,8 @@ def test_scanner():
     assert read('<p>x <a href="/y>z</a> w</p>') == [("x z w", 3, 1)]
     assert read("<p>one<div>two</div>three") == [("one", 1, 0), ("two", 1, 0), ("three", 1, 0)]
     assert read("<div><p>a</div>b</p>c") == [("a", 1, 0), ("b", 1, 0), ("c", 1, 0)]
+    assert read("<p>a <a>b</p>c<p>d <a>e<p>f</p>") == [("a b", 2, 1), ("c", 1, 0), ("d e", 2, 1), ("f", 1, 0)]
+    assert read("<a><div>a</div><div>b</div></a><div>c</div>") == [("a", 1, 1), ("b", 1, 1), ("c", 1, 0)]
     assert read("<title>t</title><textarea><p>x</p></textarea><p>y<script>'</p>'</SCRIPT >z</p>") == [("y", 1, 0), ("z", 1, 0)]
     assert read("<p hidden>a</p><p style='display: none'>b</p><div aria-hidden=true><p>c</p></div><p>d</p>") == [("d", 1, 0)]
     assert read("1 < 2 <3 &lt;p&gt; a<br>b<!-- <p>x</p> -->c") == [("1 < 2 <3 <p> a bc", 7, 0)]
