@@ -35,6 +35,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """What no column of a table begins with: names made of it can't clash."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """(key, row): the id as a long, null as the least one, and a hash of the text. Rows that agree in both have equal texts."""
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(text_col, F.octet_length(text_col)).alias("row")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import SPACE_CHARS, SPACE_RE, lots, row_key, written
+from loomscan.llm.common import SPACE_CHARS, SPACE_RE, lots, own_prefix, row_key, written
 
 MIN_SITES = 6
 #: Sites from which on a line of fewer than MIN_WORDS words is boilerplate: twice those of longer lines.
@@ -74,16 +74,17 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     index = written(line_index(docs, id_col, text_col, site_col, min_words, short_sites is not None))
     common = written(boilerplate(index, min_sites, short_sites))
     gone = index.join(common, "h").filter((F.col("key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos")))
-    marks = gone.groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__gone"))
+    k, r, drop_col = (own_prefix(docs) + x for x in ("key", "row", "gone"))
+    marks = gone.groupBy(F.col("key").alias(k), F.col("row").alias(r)).agg(F.collect_set("pos").alias(drop_col))
     key, row = row_key(id_col, text_col)
-    joined = docs.select("*", key.alias("__key"), row.alias("__row")).join(marks, ["__key", "__row"], "left").drop("__key", "__row")
+    joined = docs.select("*", key.alias(k), row.alias(r)).join(marks, [k, r], "left").drop(k, r)
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
             total, n_gone, kept = [], [], []
-            for text, marks in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for text, marks in zip(batch.column(text_col).to_pylist(), batch.column(drop_col).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 total.append(sum(1 for x in lines if x.strip(SPACE_CHARS)))
                 n_gone.append(len(marks or ()))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import lots, partitions, written
+from loomscan.llm.common import lots, own_prefix, partitions, written
 from loomscan.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -151,6 +151,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the least id stays. Rows with a null id stay."""
-    heads = near_duplicates(docs, id_col, text_col, size, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(heads, F.col(id_col).cast("bigint") == F.col("__head"), "left_semi").dropDuplicates([id_col])
+    heads = near_duplicates(docs, id_col, text_col, size, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(own_prefix(docs) + "head")).distinct()
+    kept = docs.filter(F.col(id_col).isNotNull()).join(heads, F.col(id_col).cast("bigint") == F.col(heads.columns[0]), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import lots, partitions, row_key, written
+from loomscan.llm.common import lots, own_prefix, partitions, row_key, written
 
 WINDOW_WORDS = 20
 MINIMISER_WORDS = 4
@@ -300,16 +300,17 @@ ADDED = ["n_words", "n_removed", "kept_text"]
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW_WORDS, m: int = MINIMISER_WORDS) -> DataFrame:
     """The columns of docs with n_words, n_removed and kept_text (null text: empty)."""
     docs = docs.drop(*[c for c in ADDED if c != text_col])
-    marks = repeated_intervals(docs, id_col, text_col, k, m).groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("s", "e")).alias("__marks"))
+    key_col, row_col, marks_col = (own_prefix(docs) + x for x in ("key", "row", "marks"))
+    marks = repeated_intervals(docs, id_col, text_col, k, m).groupBy(F.col("key").alias(key_col), F.col("row").alias(row_col)).agg(F.collect_list(F.struct("s", "e")).alias(marks_col))
     key, row = row_key(id_col, text_col)
-    joined = docs.select("*", key.alias("__key"), row.alias("__row")).join(marks, ["__key", "__row"], "left").drop("__key", "__row")
+    joined = docs.select("*", key.alias(key_col), row.alias(row_col)).join(marks, [key_col, row_col], "left").drop(key_col, row_col)
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
             total, gone, kept = [], [], []
-            for text, marks in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("__marks").to_pylist(), strict=True):
+            for text, marks in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column(marks_col).to_pylist(), strict=True):
                 text = text or b""
                 n, drop = len(text.split()), None
                 if marks:

@@ -61,3 +61,44 @@ def test_plan_is_native(spark, small_dir):
 
     plan = op8_quality_rules(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def slow_kept(text):
+    """(kept, lost characters, kept text), line by line in Python."""
+    import re
+
+    blank = " \t\n\x0b\f\r"
+    of = lambda x, chars: sum(c in chars for c in x)
+    kept, lost = [], 0
+    for line in (text or "").split("\n"):
+        n = len([w for w in re.split("[ \t-\r]+", line) if w])
+        bare = line.strip(blank)
+        fails = n > 0 and (
+            of(line, "#*$%&|<>") > 0.5 * n
+            or (n >= 3 and of(line, "!") > 0.5 * n)
+            or (n >= 30 and not re.search("[.,;:!?…。！？]", line))
+            or of(line, "|»›•·") > 0.25 * n
+            or re.search(quality_rules.NAVIGATION, bare, re.A) is not None
+            or re.search(quality_rules.BOILERPLATE, line, re.A) is not None
+        )
+        if fails:
+            lost += sum(c not in blank for c in line)
+        else:
+            kept.append(line)
+    return lost, "\n".join(kept)
+
+
+def test_kept_text_against_brute_force(spark, sf_dir):
+    """Documents, every sign of boilerplate in every case, every kind of failing line, and a very long text."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300).collect()]
+    signs = ["ALL RIGHTS RESERVED", "Licensed Under x", "terms of use", "Terms of Service", "terms of trade", "Privacy Policy", "Cookies", "Enable JavaScript", "Subscribe to our", "SIGN UP FOR", "Follow us on", "Powered by", "© 2024", "ſubscribe to our", "COOKIE", "Cooкie"]
+    texts += [f"{CLEAN}\n{s}\n{CLEAN}" for s in signs]
+    lines = ["a ! b ! c !", "! ! !", "x! y! z", "a » b", "a • b c d e f g h", "Home", " log in >", "skip to content:", "contact us", "#a b", "##", "w " * 30, "w " * 30 + ".", "\t", "\x0b|\x0c", "a|b c d e"]
+    texts += [f"{CLEAN}\n{x}" for x in lines] + ["\n".join(lines), "\n".join(lines * 4000), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = quality_rules.judge(df).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        lost, kept = slow_kept(texts[r["doc_id"]])
+        assert (r["lost_chars"], r["kept_text"]) == (lost, kept), texts[r["doc_id"]][:300]
+        assert r["kept"] == (not r["base_failed"] and lost <= 0.3 * r["word_chars"])
