@@ -1,19 +1,27 @@
 """Planning steps that depend on all steps before them.
 
-They run over manifests, a row of a few numbers for each chunk and never its bytes, so one ordered pass is enough: the rows
-are sorted by Spark (spilling where it must) into one partition, and a pass keeps only its running state.
+They run over manifests, a row of a few numbers for each chunk and never its bytes. Where each part has a state of its own, parts
+are passed side by side. Requests are packed in ranges of rows side by side, too: each range works out where it would end for
+every state that it could begin with, those answers are chained in one short pass, and then each range knows its state. The bins
+of lightest_bin depend on all rows before: there one ordered pass over sorted rows (Spark spills where it must) keeps the state.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.sources.options import Options
+from loomscan.sources.shared import fresh_dir
+
+#: Rows of a manifest that are packed in one pass, and of a range beyond that.
+RANGE_ROWS = 1 << 20
 
 
 def ordered_pass(rows: DataFrame, order: list, inputs: list[str], step: Callable[[], Callable[..., tuple]], outputs: dict[str, str], by: str | None = None) -> DataFrame:
@@ -45,9 +53,11 @@ def pack_requests(manifest: DataFrame, limit: int | None = None) -> DataFrame:
     Without a limit that of the settings counts. A limit below the largest chunk is an error. Chunks of no bytes stay in the
     request that is open when they come.
     """
+    sums = manifest.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.count("*")).first()
     if limit is None:
-        sums = manifest.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
         limit = max(Options.read().request_limit(int(sums[0]), int(sums[1])), 1)
+    if sums[2] > RANGE_ROWS:
+        return _pack_by_ranges(manifest, limit, -(-int(sums[2]) // RANGE_ROWS))
 
     def step():
         request, used = 0, 0
@@ -66,6 +76,64 @@ def pack_requests(manifest: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered_pass(manifest, ["file_id", "chunk_idx"], ["size"], step, {"request_id": "bigint", "request_offset": "bigint"})
 
 
+def _pack_by_ranges(manifest: DataFrame, limit: int, n: int) -> DataFrame:
+    """pack_requests() over n ranges of rows. The ranges are written, so that all steps see the same ones."""
+    spark, place = manifest.sparkSession, fresh_dir(manifest.sparkSession, "ranges")
+    order = ["file_id", "chunk_idx"]
+    manifest.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()).write.parquet(place)
+    rows = spark.read.parquet(place)
+
+    def sorted_sizes(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """The rows in order, and where each ends and begins among the bytes of the range."""
+        table = table.sort_by([(c, "ascending") for c in order])
+        sizes = table.column("size").to_numpy()
+        if len(sizes) and sizes.max() > limit:
+            raise ValueError(f"memory limit {limit} is below a chunk of {sizes.max()} bytes")
+        ends = np.cumsum(sizes)
+        return table, ends, ends - sizes
+
+    def answers(table: pa.Table) -> pa.Table:
+        """If a request begins at a row: how many more begin in the range, and the bytes of the last. For rows that the first can begin at."""
+        table, ends, begins = sorted_sizes(table)
+        after = np.searchsorted(ends, begins + limit, side="right").tolist()
+        more, used = [0] * len(ends), (ends[-1] - begins).tolist()
+        for i in range(len(ends) - 1, -1, -1):
+            if after[i] < len(ends):
+                more[i], used[i] = more[after[i]] + 1, used[after[i]]
+        first = int(np.searchsorted(begins, limit, side="right"))
+        return pa.table({"range": pa.array([table.column("range")[0].as_py()], type=pa.int32()), "n": pa.array([len(ends)]), "total": pa.array([int(ends[-1])]), "ends": pa.array([ends[:first]], type=pa.list_(pa.int64())), "more": pa.array([more[:first]], type=pa.list_(pa.int64())), "used": pa.array([used[:first]], type=pa.list_(pa.int64()))})
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        request = held = 0
+        for batch in batches:
+            states = []
+            for r in batch.to_pylist():
+                states.append((r["range"], request, held))
+                at = bisect.bisect_right(r["ends"], limit - held)
+                if at < r["n"]:
+                    request, held = request + 1 + r["more"][at], r["used"][at]
+                else:
+                    held += r["total"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*states, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["range", "request_id", "request_offset"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table, ends, begins = sorted_sizes(table)
+        request, held = table.column("request_id")[0].as_py(), table.column("request_offset")[0].as_py()
+        starts, at = [], int(np.searchsorted(ends, limit - held, side="right"))
+        while at < len(ends):
+            starts.append(at)
+            at = int(np.searchsorted(ends, begins[at] + limit, side="right"))
+        later = np.searchsorted(starts, np.arange(len(ends)), side="right")
+        base = np.concatenate([[-held], begins[starts]])[later] if starts else np.full(len(ends), -held)
+        kept = table.drop_columns(["range", "request_id", "request_offset"])
+        return kept.append_column("request_id", pa.array(request + later)).append_column("request_offset", pa.array(begins - base))
+
+    found = rows.groupBy("range").applyInArrow(answers, "range int, n bigint, total bigint, ends array<bigint>, more array<bigint>, used array<bigint>")
+    states = found.repartition(1).sortWithinPartitions("range").mapInArrow(chain, "range int, request_id bigint, request_offset bigint")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.schema.fields)
+    return rows.join(states, "range").select(*manifest.columns, "range", "request_id", "request_offset").groupBy("range").applyInArrow(pack, kinds + ", request_id bigint, request_offset bigint")
+
+
 def request_indices(packed: DataFrame) -> DataFrame:
     """Local and global chunk numbers of packed chunks: places in the file within a request, and in the whole file."""
     local = Window.partitionBy("request_id", "file_id").orderBy("chunk_idx")

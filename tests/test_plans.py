@@ -34,6 +34,21 @@ def test_packing(spark, files, limit, want):
     assert packed(spark, files, limit) == want
 
 
+@pytest.mark.parametrize("range_rows", [3, 10, 60])
+def test_packing_by_ranges(spark, monkeypatch, range_rows):
+    """Ranges of few rows, requests that span several of them, empty chunks: the same requests as in one pass."""
+    rng = random.Random(range_rows)
+    files = [(i, f"p{i}", 0, [rng.choice([0, 0, 1, rng.randint(1, 40), 40]) for _ in range(rng.randint(1, 40))]) for i in range(12)]
+    rows = rows_of(spark, files)
+    for limit in (40, 55, 300, 10**6):
+        monkeypatch.setattr(folds, "RANGE_ROWS", 10**9)
+        want = sorted(map(tuple, folds.pack_requests(rows, limit).collect()))
+        monkeypatch.setattr(folds, "RANGE_ROWS", range_rows)
+        assert sorted(map(tuple, folds.pack_requests(rows, limit).collect())) == want
+    with pytest.raises(Exception, match="memory limit 39"):
+        folds.pack_requests(rows, 39).collect()
+
+
 def test_packing_limit_below_a_chunk(spark):
     with pytest.raises(Exception, match="memory limit 3"):
         folds.pack_requests(rows_of(spark, [(1, "a", 0, [1, 4])]), 3).collect()
