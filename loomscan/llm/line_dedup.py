@@ -30,7 +30,8 @@ MIN_WORDS = 5
 SKETCH_LG_K = 12
 #: Standard errors of a sketch within which a line is counted exactly.
 NEAR_ERRORS = 4
-#: Places over which the rows of one line are dealt where they are joined with the lines to count exactly.
+#: So many lines to count exactly are broadcast at most; beyond that the rows of one line are dealt over SALTS places to be joined.
+BROADCAST_LINES = 100_000
 SALTS = 32
 ADDED = ["n_lines", "n_removed", "kept_text"]
 
@@ -61,10 +62,13 @@ def boilerplate(index: DataFrame, min_sites: int = MIN_SITES, short_sites: int |
     some = written(sums.select("h", "first", "estimate", limit.alias("limit"), band.alias("band")).filter(F.col("estimate") >= F.col("limit") - F.col("band")))
     clear = some.filter(F.col("estimate") > F.col("limit") + F.col("band")).select("h", "first")
     near = some.filter(F.col("estimate") <= F.col("limit") + F.col("band"))
-    # a line that a third of all rows hold lies in as many places as there are salts, until its sites are combined
-    salts = near.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    places = index.filter("site is not null").select("h", "site", F.pmod(F.xxhash64("key", "row", "pos"), F.lit(SALTS)).alias("salt"))
-    exact = places.join(salts, ["h", "salt"]).select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    if near.count() <= BROADCAST_LINES:
+        places = index.filter("site is not null").join(F.broadcast(near.select("h")), "h")
+    else:  # a line that a third of all rows hold lies in as many places as there are salts, until its sites are combined
+        salts = near.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+        salted = index.filter("site is not null").select("h", "site", F.pmod(F.xxhash64("key", "row", "pos"), F.lit(SALTS)).alias("salt"))
+        places = salted.join(salts.hint("merge"), ["h", "salt"])
+    exact = places.select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n"))
     return clear.union(near.join(exact, "h").filter(F.col("n") >= F.col("limit")).select("h", "first"))
 
 

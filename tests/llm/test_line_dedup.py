@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ def slow(rows, min_sites, min_words=1, short_sites=None):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     rng = random.Random(3)
     lines = [f"line number {i} of them all" for i in range(30)] + [" padded line of five words\t", "", "short"]
     rows = [(i, rng.choice([None, *[f"s{j}" for j in range(9)]]), "\n".join(rng.choice(lines[: rng.randint(2, 33)]) for _ in range(rng.randint(0, 6)))) for i in range(120)]
