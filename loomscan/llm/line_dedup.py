@@ -15,13 +15,11 @@ have the same lines removed; an empty table gives no rows; columns named like th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import SPACE_CHARS, SPACE_RE, lots, own_prefix, row_key, written
+from loomscan.llm.common import SPACE_CHARS, SPACE_RE, own_prefix, row_key, written
 
 MIN_SITES = 6
 #: Sites from which on a line of fewer than MIN_WORDS words is boilerplate: twice those of longer lines.
@@ -82,20 +80,11 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = gone.groupBy(F.col("key").alias(k), F.col("row").alias(r)).agg(F.collect_set("pos").alias(drop_col))
     key, row = row_key(id_col, text_col)
     joined = docs.select("*", key.alias(k), row.alias(r)).join(marks, [k, r], "left").drop(k, r)
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lots(batches):
-            total, n_gone, kept = [], [], []
-            for text, marks in zip(batch.column(text_col).to_pylist(), batch.column(drop_col).to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                total.append(sum(1 for x in lines if x.strip(SPACE_CHARS)))
-                n_gone.append(len(marks or ()))
-                if marks:
-                    drop = set(marks)
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-                kept.append(text or "")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total, type=pa.int64()), pa.array(n_gone, type=pa.int64()), pa.array(kept, type=pa.string())], names=[*names, *ADDED])
-
-    return joined.mapInArrow(apply, f"{kinds}, n_lines bigint, n_removed bigint, kept_text string")
+    # each select names what the next one refers to more than once; positions that stay are found through a hash set
+    lines, text = own_prefix(docs) + "lines", F.coalesce(F.col(text_col), F.lit(""))
+    split = joined.withColumn(lines, F.split(text, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop_col))
+    kept = F.when(F.col(drop_col).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    full = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")).cast("bigint")
+    gone_here = F.coalesce(F.array_size(drop_col), F.lit(0)).cast("bigint")
+    return split.select(*docs.columns, full.alias("n_lines"), gone_here.alias("n_removed"), kept.alias("kept_text"))
