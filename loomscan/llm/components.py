@@ -2,7 +2,8 @@
 
 Links stay distributed; each round is written to the shared folder, which cuts the lineage and survives lost executors. Least
 neighbours are found by an aggregation (combined before the shuffle) and joined back, so that a node with very many links is
-a skewed join, which adaptive execution splits, and never one task's group.
+a skewed join, which adaptive execution splits, and never one task's group. These joins merge: a round's files are a fraction of
+what their rows take in memory, so that their size would have the driver gather and broadcast them.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from loomscan.llm.common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return moved.union(least).distinct()
 
 

@@ -9,7 +9,8 @@ Buckets of two are decided in the JVM; in larger ones a search that drops what i
 fewer than the bucket has fingerprints. A bucket of more than LARGE fingerprints is dealt anew: they agree on its mask, so a
 second covering family over the other bits, about half of them, again has a table for every pair within the radius. What agrees
 on both differs in no more than 16 bits, so that the search never has more than 2^16 fingerprints in hand, however many rows
-there are. Components follow by distributed star steps.
+there are. Components follow by distributed star steps. All joins but that with the masks merge, so that the driver never holds
+rows whose number grows with the table.
 
 Defined results: ids are whole numbers; null and empty texts have no shingle and the fingerprint zero, which links like any other; fewer words than
 a shingle has give one shingle of them all; repeated rows share a fingerprint; rows with a null id get a fingerprint, link
@@ -119,9 +120,9 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = spread.select("node", "fp", tables.alias("x")).select("node", "fp", "x.t", "x.k")
     buckets = rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("fp").alias("p"), F.max("fp").alias("q")).filter("n > 1")
     two = buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= radius)).select("a", "b")
-    some = rows.join(buckets.filter(f"n > 2 AND n <= {LARGE}").select("t", "k"), ["t", "k"]).groupBy("t", "k")
+    some = rows.join(buckets.filter(f"n > 2 AND n <= {LARGE}").select("t", "k").hint("merge"), ["t", "k"]).groupBy("t", "k")
     second = F.broadcast(nodes.sparkSession.createDataFrame(second_masks(radius), "t int, w int, m bigint"))  # 31 times 31 rows
-    parts = rows.join(buckets.filter(f"n > {LARGE}").select("t", "k"), ["t", "k"]).join(second, "t")
+    parts = rows.join(buckets.filter(f"n > {LARGE}").select("t", "k").hint("merge"), ["t", "k"]).join(second, "t")
     large = parts.groupBy("t", "k", "w", F.col("fp").bitwiseAND(F.col("m")).alias("k2"))
     lists = [F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps")]
 
@@ -144,8 +145,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col, size))
     nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = components(links(nodes, radius))
-    labels = nodes.join(found, "node", "left").select(F.col("fp").alias("fp"), F.coalesce("component", "node").alias("component_id"))
-    joined = prints.join(labels, "fp", "left")
+    labels = nodes.join(found.hint("merge"), "node", "left").select(F.col("fp").alias("fp"), F.coalesce("component", "node").alias("component_id"))
+    joined = prints.join(labels.hint("merge"), "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -121,3 +121,22 @@ def test_large_buckets_are_dealt_anew(spark, monkeypatch):
     found = {r["node"]: r["component"] for r in components(simhash.links(nodes)).collect()}
     want = slow_components(by)
     assert {i: found.get(i, i) for i in by} == want
+
+
+def test_no_join_gathers_rows_on_the_driver(spark, sf_dir, monkeypatch):
+    """Nothing but the masks of the second tables is broadcast, however small the files of a step are."""
+    from loomscan.llm import common
+    from loomscan.llm import components as stars
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    monkeypatch.setattr(stars, "written", seen)
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4
+    assert [p.count("BroadcastExchange") for p in plans if "BroadcastExchange" in p] in ([], [1])
