@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: SimHash of five-word shingles in covering tables, then a Jaccard similarity of 0.8 or more."""
     return near_copies.one_of_each(docs.select(*COLUMNS))
 
 

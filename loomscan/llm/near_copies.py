@@ -1,11 +1,17 @@
-"""Removal of near copies by the Jaccard similarity of their word shingles.
-
-Two texts are near copies if the sets of their shingles have a Jaccard similarity of at least the threshold. MinHash bands find
-the candidates: a pair at similarity s agrees in one of B bands of R values with probability 1 - (1 - s^R)^B, which is
-1 - 7e-6 at 0.8. Nothing is linked by its bands alone: every link is checked over the two whole sets.
-
-Equal sets collapse to one node before the bands. The members of a band's bucket link to its least node, never to each other, so
-rows stay in proportion to the bucket. What these links connect is a group. A group of up to GROUP nodes meets in one task,
+"""Removal of near copies: SimHash with covering tables finds the candidates, the Jaccard similarity of whole sets decides.
+
+Two texts are near copies if the sets of their shingles have a Jaccard similarity of at least the threshold. A bit of their
+SimHash fingerprints differs with probability acos(2J / (1 + J)) / pi, 0.15 at 0.8, so that radius 4 over 64 bits is far too
+narrow. A fingerprint has 1,024 bits here, in 32 parts of 32 bits. Each part has its own covering family of radius 2, 7 masks (see
+simhash). Two fingerprints within 95 bits differ in at most 2 bits of some part, so that they always meet in one of the 224 tables
+(95 bits: Jaccard 0.92). Beyond that meeting is likely instead of certain: a pair at exactly 0.8 is missed with probability
+2e-4, one at 0.85 with 2e-6. What meets is linked only within 40 of the first 128 bits, 5 standard deviations above the mean of
+a pair at 0.8, which texts that share nothing pass once in 100,000. Nothing is linked by its fingerprints alone: every link is
+checked over the two whole sets.
+
+Equal sets collapse to one node before the tables. Rows of a table's bucket stand side by side in a task, sorted. In a bucket of up
+to RUN nodes all are compared, in a larger one a search drops what it has linked, and in one that goes on beyond an Arrow batch
+with more than LARGE nodes all link to its first node, compared or not: links are only candidates, so none is lost. What these links connect is a group. A group of up to GROUP nodes meets in one task,
 which compares whole sets and drops what it has linked, so it emits fewer links than the group has members. In a larger group
 each node is first compared with the least one, in blocks; only those that aren't alike to it are then compared with all the
 group, block by block, again with fewer links than the two blocks have members. So no task holds more than two blocks, and no
@@ -27,19 +33,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomscan.llm import simhash
 from loomscan.llm.common import NULL_KEY, lots, own_prefix, row_key, written
 from loomscan.llm.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS = 30
-BAND_VALUES = 5
 SEED = 42
+#: Words of 64 bits of a fingerprint; bits of a part, and the radius that its tables cover.
+WORDS = 16
+PART_BITS = 32
+PART_RADIUS = 2
+#: The first words, and the bits of them in which what is linked may differ.
+CHECK_WORDS = 2
+CHECK_RADIUS = 40
+#: A bucket of more nodes is searched instead of compared pair by pair; one of which more than LARGE would be held for the next batch links to its first node.
+RUN = 64
+LARGE = 4096
 #: Nodes of a group that meet in one task, and nodes of a block of a larger group.
 GROUP = 1000
 GROUP_BLOCK = 500
-#: Shingles that are hashed by all functions at once.
-BLOCK = 2048
+#: Shingles whose bits are counted at once, as many as a byte can count.
+BLOCK = 255
 
 
 def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -58,19 +73,45 @@ def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin, stop, strict=True)), dtype=np.uint64, count=n - size + 1))
 
 
-def functions(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Masks and odd factors of n hash functions, as columns."""
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 64, size=(n, 1), dtype=np.uint64), rng.integers(0, 1 << 64, size=(n, 1), dtype=np.uint64) | np.uint64(1)
-
-
-def bands(found: np.ndarray, masks: np.ndarray, factors: np.ndarray, values: int = BAND_VALUES) -> list[int]:
-    """One signed 64-bit key a band: a hash of its least values and its number."""
-    least = np.full(len(masks), np.uint64((1 << 64) - 1))
+def fingerprint(found: np.ndarray, n_words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The SimHash of distinct shingle hashes, in words of 64 bits: each word takes its bits from hashes of its own."""
+    salts = np.random.default_rng(seed).integers(0, 1 << 64, size=n_words, dtype=np.uint64)
+    counts = np.zeros(64 * n_words, dtype=np.int64)
     for at in range(0, len(found), BLOCK):
-        np.minimum(least, ((found[at : at + BLOCK] ^ masks) * factors).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(least.reshape(-1, values))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+        x = found[at : at + BLOCK, None] ^ salts
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
+
+
+def keys(prints: np.ndarray) -> np.ndarray:
+    """prints (rows, words): the key of each row in each table, which holds the table's number and the bits that its mask keeps."""
+    masks = np.array(simhash.covering(list(range(PART_BITS)), PART_RADIUS), dtype=np.uint64)
+    parts = prints.view(f"<u{PART_BITS // 8}").astype(np.uint64)[:, :, None] & masks
+    tables = np.arange(parts.shape[1] * len(masks), dtype=np.uint64) << np.uint64(PART_BITS)
+    return parts.reshape(len(prints), -1) | tables
+
+
+def meetings(k: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows in order of k, prints as wide as what is checked: links that connect what has equal k and is within CHECK_RADIUS."""
+    links = []
+    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    sizes = np.diff(np.r_[begin, len(k)])
+    few = np.repeat(sizes <= RUN, sizes)
+    for d in range(1, RUN):
+        at = np.flatnonzero((k[d:] == k[:-d]) & few[d:])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1) <= CHECK_RADIUS]
+        links.append((nodes[at], nodes[at + d]))
+    for first, n in zip(begin[sizes > RUN].tolist(), sizes[sizes > RUN].tolist(), strict=True):
+        own = nodes[first : first + n]
+        found = np.array(simhash.spanning_links(prints[first : first + n], CHECK_RADIUS), dtype=np.int64).reshape(-1, 2)
+        links.append((own[found[:, 0]], own[found[:, 1]]))
+    return links
 
 
 def spanning_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -104,10 +145,45 @@ def spanning_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> li
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes (node, bands): links (a, b) from each member of a band's bucket to its least node."""
-    rows = nodes.select("node", F.explode("bands").alias("k"))
-    least = rows.groupBy("k").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(least, "k").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    """nodes (node, print): links (a, b) that connect the nodes that meet in a table and are within the checked radius."""
+    checks = [f"c{i}" for i in range(CHECK_WORDS)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lots(batches):
+            prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
+            k = keys(prints)
+            columns = [k.reshape(-1), np.repeat(batch.column("node").to_numpy(), k.shape[1])]
+            columns += [np.repeat(prints[:, i], k.shape[1]) for i in range(CHECK_WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["k", "node", *checks])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*links, strict=True)) if links else (np.zeros(0, dtype=np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+        held = np.zeros((0, 2 + CHECK_WORDS), dtype=np.int64)  # rows of the last key, which the next batch may go on with
+        hub = None  # (key, first node) of a bucket that is too large to hold
+        for batch in batches:
+            now = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            if hub:
+                n = int(np.searchsorted(now[:, 0], hub[0], side="right"))
+                yield out([(now[:n, 1], np.full(n, hub[1]))])
+                now, hub = now[n:], hub if n == len(now) else None
+            if not len(now):
+                held = now
+                continue
+            last = int(np.searchsorted(now[:, 0], now[-1, 0]))
+            held, now = now[last:].copy(), now[:last]
+            yield out(meetings(now[:, 0], now[:, 1], now[:, 2:].view(np.uint64)))
+            if len(held) > LARGE:
+                hub = (held[0, 0], held[0, 1])
+                yield out([(held[1:, 1], np.full(len(held) - 1, hub[1]))])
+                held = held[:0]
+        yield out(meetings(held[:, 0], held[:, 1], held[:, 2:].view(np.uint64)) if len(held) else [])
+
+    schema = "k bigint, node bigint, " + ", ".join(f"{c} bigint" for c in checks)
+    rows = nodes.select("node", "print").mapInArrow(deal, schema).repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _links(texts: DataFrame, groups: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -157,20 +233,19 @@ def _links(texts: DataFrame, groups: DataFrame, size: int, similarity: float) ->
     return small.union(near).union(whole.unionByName(apart).groupBy("component", "u", "g").applyInArrow(across, "a bigint, b bigint"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY, n_bands: int = BANDS, band_values: int = BAND_VALUES) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, row, component_id, component_row) of each row; component_id and component_row tell the least row that links reach, its own included. row: see row_key."""
     source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, factors = functions(n_bands * band_values)
         for batch in lots(batches):
             sets = [shingles(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], type=pa.binary())
-            found = pa.array([bands(x, masks, factors, band_values) for x in sets], type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), keys, found], names=["key", "row", "shingles", "bands"])
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], type=pa.binary())
+            prints = pa.array([fingerprint(x).tobytes() for x in sets], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), same, prints], names=["key", "row", "shingles", "print"])
 
-    signed = written(source.mapInArrow(sign, "key bigint, row bigint, shingles binary, bands array<bigint>"))
-    distinct = signed.filter(F.col("key") > NULL_KEY).groupBy("shingles").agg(F.min(F.struct("key", "row")).alias("head"), F.first("bands").alias("bands"))
+    signed = written(source.mapInArrow(sign, "key bigint, row bigint, shingles binary, print binary"))
+    distinct = signed.filter(F.col("key") > NULL_KEY).groupBy("shingles").agg(F.min(F.struct("key", "row")).alias("head"), F.first("print").alias("print"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()))  # numbered once, as it is written
     groups = written(components(candidates(nodes)))
     wanted = nodes.join(groups, "node").select("node", "component", "head.key", "head.row")

@@ -84,14 +84,15 @@ def second_masks(radius: int = RADIUS, bits: int = BITS) -> list[tuple[int, int,
 
 
 def spanning_links(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (indices) that connect what the radius connects among distinct fingerprints."""
+    """Links (indices) that connect what the radius connects among fingerprints: one number each, or a row of numbers."""
     left = np.arange(len(prints))
     links: list[tuple[int, int]] = []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]) <= radius
+            apart = np.bitwise_count(prints[left] ^ prints[at])
+            near = (apart if apart.ndim == 1 else apart.sum(axis=1)) <= radius
             got = left[near].tolist()
             links += [(at, x) for x in got]
             queue += got

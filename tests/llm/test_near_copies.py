@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from loomscan.llm import near_copies
 
@@ -99,3 +101,38 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     want, _ = slow(rows)
     assert len({want[2000 + i] for i in range(12)}) < 12
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == want
+
+
+def test_candidates_come_from_covering_tables(spark, monkeypatch):
+    """Fingerprints within the radius that the tables cover always meet, in buckets of every size; others only within the checked bits."""
+    rng = np.random.default_rng(4)
+    radius = near_copies.WORDS * 64 // near_copies.PART_BITS * (near_copies.PART_RADIUS + 1) - 1
+    bits = [x for x in rng.integers(0, 2, (6, near_copies.WORDS * 64), dtype=np.uint8)]
+    for b in list(bits):
+        for n in (radius, radius, 60, 5, 1, 1, 1, 1):
+            bits.append(b.copy())
+            bits[-1][rng.choice(len(b), n, replace=False)] ^= 1
+    prints = np.packbits(np.array(bits), axis=1, bitorder="little").view("<u8")
+    met = near_copies.keys(prints)
+    assert met.shape[1] == 224
+    assert all((met[i] == met[6 + 8 * i + j]).any() for i in range(6) for j in range(8))
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "node bigint, print binary").repartition(3)
+    want = {i: i if i < 6 else (i - 6) // 8 for i in range(len(bits))}
+    for run, large in ((64, 4096), (2, 4096), (2, 3)):
+        monkeypatch.setattr(near_copies, "RUN", run)
+        monkeypatch.setattr(near_copies, "LARGE", large)
+        found = near_copies.components(near_copies.candidates(nodes))
+        assert {r["node"]: r["component"] for r in found.collect()} == want
+
+
+def test_pairs_at_the_similarity_meet():
+    """Sets of a Jaccard similarity of exactly 0.8, the least one that counts: nearly all meet in a table and pass the check."""
+    rng, missed = np.random.default_rng(5), 0
+    for n in (9, 18, 90, 270):
+        for _ in range(250):
+            x = rng.integers(0, 1 << 64, n * 10 // 9, dtype=np.uint64)
+            one, two = (near_copies.fingerprint(y) for y in (x[: n], x[n // 9 :]))
+            k = near_copies.keys(np.stack([one, two]))
+            alike = np.bitwise_count((one ^ two)[: near_copies.CHECK_WORDS]).sum() <= near_copies.CHECK_RADIUS
+            missed += not (alike and (k[0] == k[1]).any())
+    assert missed <= 2
