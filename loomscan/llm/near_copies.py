@@ -11,11 +11,12 @@ checked over the two whole sets.
 
 Equal sets collapse to one node before the tables. Rows of a table's bucket stand side by side in a task, sorted. In a bucket of up
 to RUN nodes all are compared, in a larger one a search drops what it has linked, and in one that goes on beyond an Arrow batch
-with more than LARGE nodes all link to its first node, compared or not: links are only candidates, so none is lost. What these links connect is a group. A group of up to GROUP nodes meets in one task,
-which compares whole sets and drops what it has linked, so it emits fewer links than the group has members. In a larger group
+with more than LARGE nodes all link to its first node, compared or not: links are only candidates, so none is lost. A task thins
+its links to spanning forests, each node with the least one that it reaches there, so that links grow with its rows and not with
+the pairs of a large group. What these links connect is a group. A group of up to GROUP nodes meets in one task, which compares whole sets and drops what it has linked, so it emits fewer links than the group has members. In a larger group
 each node is first compared with the least one, in blocks; only those that aren't alike to it are then compared with all the
-group, block by block, again with fewer links than the two blocks have members. So no task holds more than two blocks, and no
-pair that could link two components is left out. Components of the checked links follow by distributed star steps.
+group, block by block, again with fewer links than the two blocks have members, which tasks thin to forests too. So no task holds
+more than two blocks, and no pair that could link two components is left out. Components of the checked links follow by distributed star steps.
 
 Defined results: ids are whole numbers; shingles stand as 64-bit hashes of lower-case words; fewer words than a shingle has give
 one shingle of them all; null and empty texts have none and are copies of each other only; rows are told apart by id and text,
@@ -25,7 +26,7 @@ hash of its text), once if it is repeated; rows with a null id stay; an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ LARGE = 4096
 #: Nodes of a group that meet in one task, and nodes of a block of a larger group.
 GROUP = 1000
 GROUP_BLOCK = 500
+#: Links that a task holds before it thins them; what is left of them goes out if it is more than half.
+HELD = 1 << 20
 #: Shingles whose bits are counted at once, as many as a byte can count.
 BLOCK = 255
 
@@ -114,6 +117,40 @@ def meetings(k: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[tuple
     return links
 
 
+def forest(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least nodes): links that connect what the links connect, one of each node but the least that it reaches."""
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def forests(links: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect what all the links connect, in forests of what is held at a time."""
+    held, n = [], 0
+    for link in links:
+        if len(link[0]):
+            held.append(link)
+            n += len(link[0])
+        if n > HELD:
+            held = [forest(held)]
+            n = len(held[0][0])
+            if 2 * n > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(held)], names=["a", "b"])
+
+
 def spanning_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links (indices) that connect what the similarity connects; sets are compared whole."""
     links: list[tuple[int, int]] = []
@@ -156,30 +193,29 @@ def candidates(nodes: DataFrame) -> DataFrame:
             columns += [np.repeat(prints[:, i], k.shape[1]) for i in range(CHECK_WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["k", "node", *checks])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*links, strict=True)) if links else (np.zeros(0, dtype=np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held = np.zeros((0, 2 + CHECK_WORDS), dtype=np.int64)  # rows of the last key, which the next batch may go on with
         hub = None  # (key, first node) of a bucket that is too large to hold
         for batch in batches:
             now = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
             if hub:
                 n = int(np.searchsorted(now[:, 0], hub[0], side="right"))
-                yield out([(now[:n, 1], np.full(n, hub[1]))])
+                yield now[:n, 1], np.full(n, hub[1])
                 now, hub = now[n:], hub if n == len(now) else None
             if not len(now):
                 held = now
                 continue
             last = int(np.searchsorted(now[:, 0], now[-1, 0]))
             held, now = now[last:].copy(), now[:last]
-            yield out(meetings(now[:, 0], now[:, 1], now[:, 2:].view(np.uint64)))
+            yield from meetings(now[:, 0], now[:, 1], now[:, 2:].view(np.uint64))
             if len(held) > LARGE:
                 hub = (held[0, 0], held[0, 1])
-                yield out([(held[1:, 1], np.full(len(held) - 1, hub[1]))])
+                yield held[1:, 1], np.full(len(held) - 1, hub[1])
                 held = held[:0]
-        yield out(meetings(held[:, 0], held[:, 1], held[:, 2:].view(np.uint64)) if len(held) else [])
+        yield from meetings(held[:, 0], held[:, 1], held[:, 2:].view(np.uint64))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from forests(met(batches))
 
     schema = "k bigint, node bigint, " + ", ".join(f"{c} bigint" for c in checks)
     rows = nodes.select("node", "print").mapInArrow(deal, schema).repartition("k").sortWithinPartitions("k")
@@ -230,7 +266,11 @@ def _links(texts: DataFrame, groups: DataFrame, size: int, similarity: float) ->
         nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
         return linked(nodes, spanning_links(read(table.column("text").take(pa.array(at))), similarity))
 
-    return small.union(near).union(whole.unionByName(apart).groupBy("component", "u", "g").applyInArrow(across, "a bigint, b bigint"))
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from forests((x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches)
+
+    found = whole.unionByName(apart).groupBy("component", "u", "g").applyInArrow(across, "a bigint, b bigint")
+    return small.union(near).union(found.mapInArrow(thinned, "a bigint, b bigint"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -136,3 +136,45 @@ def test_pairs_at_the_similarity_meet():
             alike = np.bitwise_count((one ^ two)[: near_copies.CHECK_WORDS]).sum() <= near_copies.CHECK_RADIUS
             missed += not (alike and (k[0] == k[1]).any())
     assert missed <= 2
+
+
+def test_links_of_a_group_dont_grow_with_its_square(spark):
+    """Sixty near copies, any two of which meet: a task emits less than one link for each of them, not one for each pair."""
+    rng, n = np.random.default_rng(6), 60
+    bits = np.repeat(rng.integers(0, 2, (1, near_copies.WORDS * 64), dtype=np.uint8), n, axis=0)
+    for row in bits:
+        row[rng.choice(len(row), 12, replace=False)] ^= 1
+    prints = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    nodes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "node bigint, print binary").repartition(3)
+    links = near_copies.candidates(nodes)
+    assert links.filter("a > b").count() == links.count() <= (n - 1) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["component"] for r in near_copies.components(links).collect()} == {0}
+
+
+def test_forests_connect_the_same(monkeypatch):
+    """Links in many small arrays, thinned all at once or whenever a few are held: fewer links, the same components."""
+    rng = np.random.default_rng(7)
+
+    def heads(links):
+        head = {}
+
+        def root(x):
+            while head.setdefault(x, x) != x:
+                x = head[x]
+            return x
+
+        for a, b in links:
+            a, b = root(a), root(b)
+            head[max(a, b)] = min(a, b)
+        return {x: root(x) for x in list(head)}
+
+    for n, m in ((3, 1), (50, 30), (300, 280), (300, 5000)):
+        links = [tuple(x) for x in (rng.permutation(n)[:2] * 10**15 for _ in range(m))]
+        want = heads(links)
+        for held in (4, 100, 1 << 20):
+            monkeypatch.setattr(near_copies, "HELD", held)
+            arrays = [np.array(links[i : i + 7], dtype=np.int64).T for i in range(0, m, 7)]
+            found = [(a, b) for x in near_copies.forests((a, b) for a, b in [(np.zeros(0, np.int64),) * 2, *arrays]) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+            assert heads(found) == want and all(a > b for a, b in found)
+            assert len(found) <= m and (held < 1 << 20 or len(found) == len(want) - len(set(want.values())))
+    assert list(near_copies.forests([])) == []
