@@ -35,6 +35,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of what is done: it does so when the driver's JVM collects, which large tables may fill disks before."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def own_prefix(df: DataFrame) -> str:
     """What no column of a table begins with: names made of it can't clash."""
     prefix = "__"

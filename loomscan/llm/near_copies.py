@@ -5,15 +5,18 @@ SimHash fingerprints differs with probability acos(2J / (1 + J)) / pi, 0.15 at 0
 narrow. A fingerprint has 1,024 bits here, in 32 parts of 32 bits. Each part has its own covering family of radius 2, 7 masks (see
 simhash). Two fingerprints within 95 bits differ in at most 2 bits of some part, so that they always meet in one of the 224 tables
 (95 bits: Jaccard 0.92). Beyond that meeting is likely instead of certain: a pair at exactly 0.8 is missed with probability
-2e-4, one at 0.85 with 2e-6. What meets is linked only within 40 of the first 128 bits, 5 standard deviations above the mean of
-a pair at 0.8, which texts that share nothing pass once in 100,000. Nothing is linked by its fingerprints alone: every link is
-checked over the two whole sets.
+2e-4, one at 0.85 with 2e-6. What meets is a candidate only within 40 of the first 128 bits, 5 standard deviations above the mean of
+a pair at 0.8. Texts that share nothing pass that once in 100,000, so that their links grow with the square of the texts and join
+ever larger groups by chance. Only links within 24 of these bits, 7 standard deviations below such texts' mean, are sure enough to
+stand; a wider one also has to be within 220 of all 1,024 bits, 6 standard deviations above the mean of a pair at 0.8 (152) and 18
+below that of texts that share nothing (512). Nothing is a near copy by its fingerprint alone: every link is checked over the two
+whole sets.
 
 Equal sets collapse to one node before the tables. Rows of a table's bucket stand side by side in a task, sorted. In a bucket of up
 to RUN nodes all are compared, in a larger one a search drops what it has linked, and in one that goes on beyond an Arrow batch
 with more than LARGE nodes all link to its first node, compared or not: links are only candidates, so none is lost. A task thins
-its links to spanning forests, each node with the least one that it reaches there, so that links grow with its rows and not with
-the pairs of a large group. What these links connect is a group. A group of up to GROUP nodes meets in one task, which compares whole sets and drops what it has linked, so it emits fewer links than the group has members. In a larger group
+its sure links to spanning forests, each node with the least one that it reaches there, so that links grow with its rows and not with
+the pairs of a large group, and drops wider ones inside a tree. What these links connect is a group. A group of up to GROUP nodes meets in one task, which compares whole sets and drops what it has linked, so it emits fewer links than the group has members. In a larger group
 each node is first compared with the least one, in blocks; only those that aren't alike to it are then compared with all the
 group, block by block, again with fewer links than the two blocks have members, which tasks thin to forests too. So no task holds
 more than two blocks, and no pair that could link two components is left out. Components of the checked links follow by distributed star steps.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.llm import simhash
-from loomscan.llm.common import NULL_KEY, lots, own_prefix, row_key, written
+from loomscan.llm.common import NULL_KEY, drop_shuffles, lots, own_prefix, row_key, written
 from loomscan.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -48,6 +51,9 @@ PART_RADIUS = 2
 #: The first words, and the bits of them in which what is linked may differ.
 CHECK_WORDS = 2
 CHECK_RADIUS = 40
+#: Within how many of these bits a link needs no further check of fingerprints, and in how many of all bits others may differ.
+SURE_RADIUS = 24
+WHOLE_RADIUS = 220
 #: A bucket of more nodes is searched instead of compared pair by pair; one of which more than LARGE would be held for the next batch links to its first node.
 RUN = 64
 LARGE = 4096
@@ -59,6 +65,9 @@ HELD = 1 << 20
 #: Shingles whose bits are counted at once, as many as a byte can count.
 BLOCK = 255
 
+#: Nodes at the ends of links, and which of the links are sure.
+Link = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
 def shingles(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order of size."""
@@ -98,8 +107,8 @@ def keys(prints: np.ndarray) -> np.ndarray:
     return parts.reshape(len(prints), -1) | tables
 
 
-def meetings(k: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows in order of k, prints as wide as what is checked: links that connect what has equal k and is within CHECK_RADIUS."""
+def meetings(k: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[Link]:
+    """Rows in order of k, prints as wide as what is checked: links that connect what has equal k and is within SURE_RADIUS, and pairs within CHECK_RADIUS that these leave apart."""
     links = []
     begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     sizes = np.diff(np.r_[begin, len(k)])
@@ -108,12 +117,18 @@ def meetings(k: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> list[tuple
         at = np.flatnonzero((k[d:] == k[:-d]) & few[d:])
         if not len(at):
             break
-        at = at[np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1) <= CHECK_RADIUS]
-        links.append((nodes[at], nodes[at + d]))
+        bits = np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1)
+        at, bits = at[bits <= CHECK_RADIUS], bits[bits <= CHECK_RADIUS]
+        links.append((nodes[at], nodes[at + d], bits <= SURE_RADIUS))
     for first, n in zip(begin[sizes > RUN].tolist(), sizes[sizes > RUN].tolist(), strict=True):
-        own = nodes[first : first + n]
-        found = np.array(simhash.spanning_links(prints[first : first + n], CHECK_RADIUS), dtype=np.int64).reshape(-1, 2)
-        links.append((own[found[:, 0]], own[found[:, 1]]))
+        own, mine = nodes[first : first + n], prints[first : first + n]
+        found = np.array(simhash.spanning_links(mine, SURE_RADIUS), dtype=np.int64).reshape(-1, 2)
+        links.append((own[found[:, 0]], own[found[:, 1]], np.ones(len(found), dtype=bool)))
+        tree = reached(np.arange(n), forest([(found[:, 0], found[:, 1])]))
+        largest = np.bincount(tree).argmax()
+        for i in np.flatnonzero(tree != largest).tolist():  # of two trees one is not the largest
+            at = np.flatnonzero((np.bitwise_count(mine ^ mine[i]).sum(axis=1) <= CHECK_RADIUS) & (tree != tree[i]))
+            links.append((own[at], np.full(len(at), own[i]), np.zeros(len(at), dtype=bool)))
     return links
 
 
@@ -134,6 +149,44 @@ def forest(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return nodes[moved], nodes[root[moved]]
 
 
+def reached(nodes: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least node that each node reaches in a forest."""
+    if not len(found[0]):
+        return nodes
+    at = np.minimum(np.searchsorted(found[0], nodes), len(found[0]) - 1)
+    return np.where(found[0][at] == nodes, found[1][at], nodes)
+
+
+def thin(links: Iterable[Link]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, sure), a > b: forests of the sure ones as in forests, and each of the others whose ends they leave apart, of what is held at a time."""
+
+    def batch(trees: tuple[np.ndarray, np.ndarray], wide: np.ndarray) -> pa.RecordBatch:
+        a, b = np.concatenate([trees[0], wide[:, 0]]), np.concatenate([trees[1], wide[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < len(trees[0]))], names=["a", "b", "sure"])
+
+    def thinned(sure: list[tuple[np.ndarray, np.ndarray]], wide: list[np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        trees, rows = forest(sure), np.concatenate(wide)
+        rows = rows[reached(rows[:, 0], trees) != reached(rows[:, 1], trees)]
+        return trees, np.unique(rows, axis=0)
+
+    none = np.zeros(0, dtype=np.int64)
+    start = lambda: ([(none, none)], [none.reshape(0, 2)], 0)
+    sure, wide, n = start()
+    for a, b, flag in links:
+        if len(a):
+            sure.append((a[flag], b[flag]))
+            wide.append(np.stack([np.maximum(a, b)[~flag], np.minimum(a, b)[~flag]], axis=1))
+            n += len(a)
+        if n > HELD:
+            trees, rows = thinned(sure, wide)
+            sure, wide, n = [trees], [rows], len(trees[0]) + len(rows)
+            if 2 * n > HELD:
+                yield batch(trees, rows)
+                sure, wide, n = start()
+    if n:
+        yield batch(*thinned(sure, wide))
+
+
 def forests(links: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that connect what all the links connect, in forests of what is held at a time."""
     held, n = [], 0
@@ -182,7 +235,7 @@ def spanning_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> li
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes (node, print): links (a, b) that connect the nodes that meet in a table and are within the checked radius."""
+    """nodes (node, print): links (a, b) that connect the nodes that meet in a table and are within the checked radii."""
     checks = [f"c{i}" for i in range(CHECK_WORDS)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +246,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
             columns += [np.repeat(prints[:, i], k.shape[1]) for i in range(CHECK_WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["k", "node", *checks])
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[Link]:
         held = np.zeros((0, 2 + CHECK_WORDS), dtype=np.int64)  # rows of the last key, which the next batch may go on with
         hub = None  # (key, first node) of a bucket that is too large to hold
         for batch in batches:
             now = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
             if hub:
                 n = int(np.searchsorted(now[:, 0], hub[0], side="right"))
-                yield now[:n, 1], np.full(n, hub[1])
+                yield now[:n, 1], np.full(n, hub[1]), np.ones(n, dtype=bool)
                 now, hub = now[n:], hub if n == len(now) else None
             if not len(now):
                 held = now
@@ -210,16 +263,27 @@ def candidates(nodes: DataFrame) -> DataFrame:
             yield from meetings(now[:, 0], now[:, 1], now[:, 2:].view(np.uint64))
             if len(held) > LARGE:
                 hub = (held[0, 0], held[0, 1])
-                yield held[1:, 1], np.full(len(held) - 1, hub[1])
+                yield held[1:, 1], np.full(len(held) - 1, hub[1]), np.ones(len(held) - 1, dtype=bool)
                 held = held[:0]
         yield from meetings(held[:, 0], held[:, 1], held[:, 2:].view(np.uint64))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from forests(met(batches))
+        yield from thin(met(batches))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1) for c in ("p", "q"))
+            near = np.bitwise_count(one ^ two).sum(axis=1) <= WHOLE_RADIUS
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     schema = "k bigint, node bigint, " + ", ".join(f"{c} bigint" for c in checks)
     rows = nodes.select("node", "print").mapInArrow(deal, schema).repartition("k").sortWithinPartitions("k")
-    return rows.mapInArrow(meet, "a bigint, b bigint").distinct()
+    found = written(rows.mapInArrow(meet, "a bigint, b bigint, sure boolean"))
+    drop_shuffles(nodes.sparkSession)
+    sure, wide = (found.filter(x).select("a", "b").distinct() for x in ("sure", "NOT sure"))
+    one, two = nodes.select(F.col("node").alias("a"), F.col("print").alias("p")), nodes.select(F.col("node").alias("b"), F.col("print").alias("q"))
+    checked = wide.hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "p", "q").mapInArrow(within, "a bigint, b bigint")
+    return sure.union(checked).distinct()
 
 
 def _links(texts: DataFrame, groups: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -244,9 +308,10 @@ def _links(texts: DataFrame, groups: DataFrame, size: int, similarity: float) ->
         return pa.table({"node": pa.array(nodes), "component": pa.array(np.full(len(nodes), least)), "alike": pa.array(alike)})
 
     counts = groups.groupBy("component").agg(F.count("*").alias("n"))
-    sized = texts.join(counts, "component")
+    sized = written(texts.join(counts, "component"))  # once, as all texts are dealt for it
+    drop_shuffles(texts.sparkSession)
     small = sized.filter(F.col("n") <= GROUP).groupBy("component").applyInArrow(check, "a bigint, b bigint")
-    large = written(sized.filter(F.col("n") > GROUP))
+    large = sized.filter(F.col("n") > GROUP)
     if large.isEmpty():
         return small
     n_blocks = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
@@ -276,6 +341,7 @@ def _links(texts: DataFrame, groups: DataFrame, size: int, similarity: float) ->
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, row, component_id, component_row) of each row; component_id and component_row tell the least row that links reach, its own included. row: see row_key."""
     source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    drop_shuffles(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches):
@@ -289,7 +355,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()))  # numbered once, as it is written
     groups = written(components(candidates(nodes)))
     wanted = nodes.join(groups, "node").select("node", "component", "head.key", "head.row")
-    texts = wanted.join(source, ["key", "row"]).groupBy("node").agg(F.first("component").alias("component"), F.first("text").alias("text"))
+    texts = wanted.join(source, ["key", "row"]).dropDuplicates(["key", "row"]).select("node", "component", "text")
     found = components(_links(texts, groups, size, similarity))
     labels = nodes.select("shingles", "node", "head").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
     heads = labels.groupBy("label").agg(F.min("head").alias("first"))
