@@ -58,9 +58,10 @@ def _two_decimals(n: Column) -> Column:
     return F.concat(div(cents, 100).cast("string"), F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
 
 
-def human_size(n: Column) -> Column:
+def human_size(n: Column, wide: Column | None = None) -> Column:
     """A size in powers of 1000 with two decimals; the whole number of each power is cut before the next.
 
+    wide: the size as a decimal without decimals, which counts where n is null as it is beyond a long.
     The unit is picked first and one number is formatted, inside a lambda that names it once, so that expressions stay small.
     """
     value = n.cast("bigint")
@@ -69,8 +70,12 @@ def human_size(n: Column) -> Column:
     found = F.struct(value.alias("n"), F.lit("B").alias("unit"))
     for (power, u), (below, _) in zip(steps[1:], steps, strict=False):
         found = F.when(value >= power, F.struct(div(value, below).alias("n"), F.lit(u).alias("unit"))).otherwise(found)
+    if wide is not None:
+        exa = F.struct(div(wide, F.lit(1000**5).cast("decimal(38,0)")).alias("n"), F.lit("EB").alias("unit"))
+        found = F.when(value.isNull() & (wide > 0), exa).otherwise(found)
     text = lambda x: F.when(x["unit"] == "B", F.concat(x["n"].cast("string"), F.lit(".00 B"))).otherwise(F.concat(_two_decimals(x["n"]), F.lit(" "), x["unit"]))
-    return F.transform(F.array(found), text)[0]
+    readable = F.transform(F.array(found), text)[0]
+    return readable if wide is None else F.when(value.isNull() & (wide < 0), F.concat(wide.cast("string"), F.lit(".00 B"))).otherwise(readable)
 
 
 def block_bytes(wanted: Column, kind: str = "file") -> Column:

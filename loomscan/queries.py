@@ -491,8 +491,12 @@ def _human(n: str) -> str:
 
 @query(f"SELECT l_orderkey, l_linenumber, {_human('n')} AS readable FROM (SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS BIGINT) * l_orderkey * CAST(l_partkey AS BIGINT) AS n FROM lineitem)")
 def human_size(spark, sf_dir):
-    n = F.col("l_orderkey").cast("bigint") * F.col("l_orderkey") * F.col("l_partkey").cast("bigint")
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", sizes.human_size(n).alias("readable"))
+    """Products beyond a long, for which the SQL raises an error, are worked out as decimals."""
+    order, part = (F.col(c).cast("bigint") for c in ("l_orderkey", "l_partkey"))
+    wide = order.cast("decimal(19,0)") * order.cast("decimal(19,0)") * part.cast("decimal(19,0)")
+    n = F.try_multiply(F.try_multiply(order, order), part)
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"), F.when(n.isNull(), wide).alias("wide"))
+    return rows.select("l_orderkey", "l_linenumber", sizes.human_size(F.col("n"), F.col("wide")).alias("readable"))
 
 
 @query("SELECT DISTINCT l_linenumber AS workers, CAST(l_linenumber * 64 AS BIGINT) AS fds, greatest(8, 128 // l_linenumber) AS requests, greatest(CAST(l_linenumber AS BIGINT) * 524288, 2097152) AS block FROM lineitem")
