@@ -35,6 +35,8 @@ BATCH_BYTES = 262_144
 BATCH_CHUNKS = 32
 ALIGNMENT = 512
 HOSTS = 8
+#: Bytes of a file that one buffer of chunk_projection stands for.
+BUFFER_BYTES = 1 << 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,11 +165,19 @@ def whole_file_scan(spark, sf_dir):
 
 @query(f"WITH {_M} SELECT file_id, chunk_idx, size, md5(text) AS digest FROM m")
 def chunk_projection(spark, sf_dir):
-    """Chunks cut out of one buffer for each file, as substrings."""
+    """Chunks cut out of buffers, as substrings.
+
+    A file has a buffer for each BUFFER_BYTES of it, with the chunks that begin there, so that no row holds a whole file. Each buffer
+    meets the list of its chunks once, in a join that merges: the reader's size is taken from the manifest, not from the bytes.
+    """
     roots = _raw_files(spark, sf_dir)
-    rows = manifest.chunk_offsets(base_manifest(spark, sf_dir))
-    blobs = scan.read_chunks(manifest.file_totals(rows).select("file_id", "path", F.lit(0).alias("chunk_idx"), F.lit(0).alias("offset"), F.col("total_bytes").alias("size")), roots).select("file_id", "data")
-    return rows.join(blobs, "file_id").select("file_id", "chunk_idx", "size", F.md5(F.substring(F.col("data"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))).alias("digest"))
+    rows = manifest.chunk_offsets(base_manifest(spark, sf_dir)).withColumn("buffer", sizes.div(F.col("offset"), BUFFER_BYTES))
+    cuts = rows.groupBy("file_id", "path", "buffer").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.coalesce("size", F.lit(0))).alias("end"), F.collect_list(F.struct("chunk_idx", "offset", "size")).alias("chunks"))
+    buffers = scan.read_chunks(cuts.select("file_id", "path", F.col("buffer").alias("chunk_idx"), F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("size")), roots)
+    joined = cuts.hint("merge").join(buffers.select("file_id", F.col("chunk_idx").cast("bigint").alias("buffer"), "data"), ["file_id", "buffer"])
+    digest = lambda c: F.md5(F.substring(F.col("data"), (c["offset"] - F.col("start") + 1).cast("int"), c["size"].cast("int")))
+    cut = F.transform("chunks", lambda c: F.struct(c["chunk_idx"].alias("chunk_idx"), c["size"].alias("size"), digest(c).alias("digest")))
+    return joined.select("file_id", cut.alias("cut")).select("file_id", F.inline("cut"))
 
 
 # ---- folds
